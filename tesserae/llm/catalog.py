@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesserae.llm import packing
+from tesserae.llm import decontaminate, langid, media, packing, quality, toxicity
 
-MODULES = (packing,)
+MODULES = (quality, media, packing, langid, toxicity, decontaminate)
 
 
 def queries() -> dict:
