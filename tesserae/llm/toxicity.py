@@ -2,7 +2,7 @@
 
 Folding lower-cases, maps homoglyphs and full-width forms to Latin letters, undoes digit and sign
 substitutions between letters, and separates words by one space. Lexicon terms are word beginnings
-with a weight, their lower confidence bound of the log odds of occurring in toxic documents; exception
+with a weight, the smoothed log odds of occurring in toxic documents; exception
 phrases (given ones, and words that begin like a term but occur in clean documents) cancel the terms
 that they cover. The weights found are normalised by length and turned into a probability by a
 logistic curve.
@@ -30,7 +30,7 @@ from tesserae.llm import common
 
 TRAIN_DOCS = 30_000
 SHORTEST, LONGEST = 3, 8  # characters of a learned word beginning
-MIN_DOCS, CONFIDENCE, MIN_WEIGHT = 5, 4.0, 0.7
+MIN_DOCS, MIN_Z, MIN_WEIGHT = 6, 6.0, 0.7  # documents, standard errors and log odds that a learned term needs
 
 # A start of the lexicon with weights, and phrases in which its words are harmless.
 SEEDS = {"idiot": 3.0, "moron": 3.0, "scum": 3.0, "stupid": 2.0, "worthless": 2.0, "pathetic": 2.0, "loser": 2.0, "disgusting": 2.0, "imbecile": 3.0, "bastard": 3.0}
@@ -137,11 +137,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic, clean = by.get(1, 0), by.get(0, 0)
     if not toxic or not clean:
         return Lexicon(dict(SEEDS), EXCEPTIONS)
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
+    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 1) / (clean + 1))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    pooled = (F.col("toxic") + F.col("clean") + 0.5) / (toxic + clean + 1)
+    z = (F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(pooled * (1 - pooled) * (1 / toxic + 1 / clean))
     counts = common.staged(_term_counts(rows), "toxicity-terms")
-    heavy = counts.filter((F.col("toxic") >= MIN_DOCS) & ~F.col("term").endswith(" ") & (odds - CONFIDENCE * error > MIN_WEIGHT))
-    found = {r["term"]: r["w"] for r in heavy.select("term", (odds - 2 * error).alias("w")).collect()}
+    heavy = counts.filter((F.col("toxic") >= MIN_DOCS) & ~F.col("term").endswith(" ") & (z >= MIN_Z) & (odds >= MIN_WEIGHT))
+    found = {r["term"]: r["w"] for r in heavy.select("term", odds.alias("w")).collect()}
     terms: dict[str, float] = {}
     for t in sorted(found, key=lambda t: (len(t), t)):  # a longer beginning stays only where it says more than a shorter one
         shorter = [terms[t[:k]] for k in range(SHORTEST, len(t)) if t[:k] in terms]
