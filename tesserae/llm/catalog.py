@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesserae.llm import decontaminate, langid, media, packing, quality, toxicity
+from tesserae.llm import decontaminate, langid, media, packing, quality, toxicity, warc
 
-MODULES = (quality, media, packing, langid, toxicity, decontaminate)
+MODULES = (quality, media, packing, warc, langid, toxicity, decontaminate)
 
 
 def queries() -> dict:
