@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesserae.llm import decontaminate, langid, media, minhash, packing, quality, toxicity, warc
+from tesserae.llm import decontaminate, langid, media, minhash, packing, quality, suffixes, toxicity, warc
 
-MODULES = (quality, media, packing, warc, minhash, langid, toxicity, decontaminate)
+MODULES = (quality, media, packing, warc, suffixes, minhash, langid, toxicity, decontaminate)
 
 
 def queries() -> dict:
