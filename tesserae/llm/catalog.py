@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tesserae.llm import decontaminate, langid, media, minhash, packing, quality, suffixes, toxicity, warc
 
 MODULES = (quality, media, packing, warc, suffixes, minhash, langid, toxicity, decontaminate)
 
 
 def queries() -> dict:
-    return {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
+    found = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
