@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesserae.plans import retrieval
+from tesserae.plans import analytics, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, analytics)
 
 
 def queries() -> dict:
