@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesserae.plans import analytics, retrieval
+from tesserae.plans import analytics, retrieval, texts
 
-MODULES = (retrieval, analytics)
+MODULES = (retrieval, analytics, texts)
 
 
 def queries() -> dict:
