@@ -65,7 +65,8 @@ def migrate_legacy(raw: DataFrame, model_id: str, json_col: str = "json") -> Dat
     entry = "struct<id:string,text:string,source:string,embedding:string>"
     rows = raw.select(F.explode(F.from_json(F.col(json_col), f"array<{entry}>")).alias("e")).select("e.*")
     listed = F.from_json("embedding", "array<double>")
-    keyed = F.transform(F.array_sort(F.map_entries(F.from_json("embedding", "map<int,double>"))), lambda e: e["value"])
+    entries = F.transform(F.map_entries(F.from_json("embedding", "map<string,double>")), lambda e: F.struct(e["key"].try_cast("int").alias("at"), e["value"].alias("value")))
+    keyed = F.transform(F.array_sort(entries), lambda e: e["value"])
     vec = F.when(F.col("embedding").startswith("["), listed).otherwise(keyed)
     rows = rows.select("id", "text", F.coalesce("source", F.lit("")).alias("source"), vec.alias("embedding"), F.lit(model_id).alias("model_id"))
     from tesserae.functions.vectors import is_valid

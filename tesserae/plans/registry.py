@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesserae.plans import analytics, retrieval, texts
+from tesserae.plans import analytics, ingest, retrieval, texts
 
-MODULES = (retrieval, analytics, texts)
+MODULES = (retrieval, analytics, texts, ingest)
 
 
 def queries() -> dict:

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One table; `root` is any path that Spark's readers open."""
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder for files that driver and executors share: in spark.checkpoint.dir, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
