@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tesserae.plans import analytics, ingest, retrieval, texts
+from tesserae.plans import analytics, ingest, retrieval, rules, texts
 
-MODULES = (retrieval, analytics, texts, ingest)
+MODULES = (retrieval, analytics, texts, ingest, rules)
 
 
 def queries() -> dict:
