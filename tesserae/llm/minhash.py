@@ -257,4 +257,15 @@ def op6_minhash(spark, sf_dir, docs: DataFrame | None = None) -> DataFrame:
 
 
 QUERIES = {"op6_minhash": op6_minhash}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_minhash": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + least(5, len(w)) - 1], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+        r AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.m),
+        g AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept FROM g LEFT JOIN n USING (doc_id)""",
+}
