@@ -53,8 +53,11 @@ def agg_date_diff_avg(spark, sf_dir):
     return joined.groupBy("o_orderpriority").agg(F.round(F.avg(days), 6).alias("avg_days"), F.count(F.lit(1)).alias("n"))
 
 
+ASKED = ("Average order price by status", "How many customers per nation and segment?", "part type and size", "sum of orders", "zzz")
+
+
 def _questions(spark):
-    return spark.createDataFrame([(q,) for q in ("Average order price by status", "How many customers per nation and segment?", "part type and size", "zzz")], "question string")
+    return spark.createDataFrame([(q,) for q in ASKED], "question string")
 
 
 def relevant_datasets(spark, sf_dir):
@@ -118,9 +121,22 @@ QUERIES = {
 }
 
 _COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS row_count FROM {n}" for n in TPCH)
-_COLUMNS = " UNION ALL ".join(f"SELECT {i} AS seq, '{n}' AS name, array_agg(column_name ORDER BY i) AS columns FROM (SELECT column_name, row_number() OVER () AS i FROM (DESCRIBE {n}))" for i, n in enumerate(TPCH))
+_ASKED = "[" + ", ".join(f"'{q}'" for q in ASKED) + "]"
 
 ORACLES = {
+    "relevant_datasets": f"""
+        WITH q AS (SELECT question, list_distinct(list_filter(string_split_regex(regexp_replace(lower(question), '[^a-z0-9_ ]', ' ', 'g'), ' +'), lambda w: length(w) >= 3)) AS asked FROM (SELECT unnest({_ASKED}) AS question)),
+        n AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(TPCH))}) t(seq, name)),
+        t AS (SELECT seq, name, unnest(string_split(name, '_')) AS tok, 4 AS points FROM n
+              UNION ALL SELECT seq, name, unnest(string_split(lower(column_name), '_')), 2 FROM n JOIN duckdb_columns() ON table_name = name),
+        s AS (SELECT question, name, seq, sum(points) AS score FROM t, q WHERE length(tok) >= 3 AND list_contains(asked, tok) GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, seq) AS rank FROM s)
+        SELECT question, name, score, rank FROM r WHERE rank <= 4""",
+    "chart_detect": """
+        WITH c AS (SELECT table_name AS dataset, column_index AS i, column_name AS c, data_type IN ('INTEGER', 'BIGINT', 'DOUBLE') AS num, data_type = 'VARCHAR' AS str
+                   FROM duckdb_columns() WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events')),
+        y AS (SELECT dataset, string_agg(c, ',' ORDER BY i) AS y_keys FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY i) AS k FROM c WHERE num) WHERE k <= 2 GROUP BY 1)
+        SELECT dataset, 'chart' AS shape, 'bar' AS type, arg_min(c, i) FILTER (str) AS x_key, any_value(y_keys) AS y_keys FROM c JOIN y USING (dataset) GROUP BY 1""",
     "df_filter": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000",
     "df_filter_count": "SELECT count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT'",
     "df_scan_head": "SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 10",

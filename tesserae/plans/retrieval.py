@@ -175,6 +175,7 @@ _BM25 = (
           FROM asked JOIN po USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b WHERE score > 0)"""
 )
+BM25_SQL = _BM25
 _NORM = "CASE WHEN max(score) OVER w = min(score) OVER w THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
 _FUSED = (
     _BM25

@@ -9,7 +9,7 @@ from tesserae.operators import evaluation as E
 from tesserae.operators import picker as P
 from tesserae.operators import retrieval as R
 from tesserae.operators import workflow as W
-from tesserae.plans.retrieval import QUERIES_TEXT
+from tesserae.plans.retrieval import BM25_SQL, QUERIES_TEXT
 from tesserae.sources.tables import table
 
 MODELS = (
@@ -298,6 +298,24 @@ ORACLES = {
     "eval_row_metrics": _EVAL + " SELECT doc_id::VARCHAR AS question_id, rel AS relevant_chunks, ok::INT AS routing_correct, round(rec, 6) AS recall_at_k, pass::INT AS passed FROM g",
     "eval_summary": _EVAL + f" SELECT {_SUM} FROM g",
     "eval_by_category": _EVAL + f" SELECT lang AS category, {_SUM} FROM g GROUP BY 1",
+    "eval_report": _EVAL
+    + f""",
+        u AS (SELECT {_SUM} FROM g), c AS (SELECT lang, {_SUM} FROM g GROUP BY 1)
+        SELECT 0 AS part, '' AS key, 0 AS n, '# Evaluation Report' AS line
+        UNION ALL SELECT 0, '', 1, '**Total Questions:** ' || total FROM u
+        UNION ALL SELECT 0, '', 2, printf('**Passed:** %d / %d (%.1f%%)', passed, total, passed / total * 100) FROM u
+        UNION ALL SELECT 0, '', 3, printf('**Routing Accuracy:** %.1f%%', routing_accuracy * 100) FROM u
+        UNION ALL SELECT 0, '', 4, printf('**Avg Recall@K:** %.1f%%', avg_recall * 100) FROM u
+        UNION ALL SELECT 0, '', 5, printf('**Avg Latency:** %.0fms', avg_latency_ms) FROM u
+        UNION ALL SELECT 1, lang, 0, printf('- **%s**: %d/%d passed, routing %.1f%%', lang, passed, total, routing_accuracy * 100) FROM c
+        UNION ALL SELECT 2, doc_id::VARCHAR, 0, printf('### %s %s recall %.1f%%', doc_id::VARCHAR, CASE WHEN doc_id % 17 = 0 THEN '❌ ERROR' WHEN pass THEN '✅ PASS' ELSE '❌ FAIL' END, rec * 100) FROM g""",
+    "eval_ir_metrics": BM25_SQL
+    + """,
+        good AS (SELECT doc_id FROM labels WHERE quality = 1), total AS (SELECT count(*) AS n FROM good),
+        h AS (SELECT query_id, rank, doc_id IN (SELECT doc_id FROM good) AS ok FROM r WHERE rank <= 20)
+        SELECT query_id, count(*) FILTER (ok) AS hits, round(count(*) FILTER (ok) / 20, 6) AS precision, round(coalesce(1 / min(rank) FILTER (ok), 0), 6) AS rr,
+            round(coalesce(sum(1 / log2(rank + 1)) FILTER (ok), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 21) t(i), total WHERE i <= n), 6) AS ndcg
+        FROM h GROUP BY 1""",
     "wf_route": "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type ELSE 'vectorstore' END AS route FROM events",
     "wf_fallback": "SELECT event_type, CASE WHEN event_id % 2 = 0 THEN 'websearch' ELSE 'vectorstore' END AS fallback, count(*) AS n FROM events GROUP BY ALL",
     "wf_generate_eval_loop": """

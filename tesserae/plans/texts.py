@@ -10,7 +10,7 @@ from tesserae.operators import chunking as C
 from tesserae.operators import rag as G
 from tesserae.operators import retrieval as R
 from tesserae.operators import state as S
-from tesserae.plans.retrieval import QUERIES_TEXT
+from tesserae.plans.retrieval import BM25_SQL, QUERIES_TEXT
 from tesserae.sources.tables import table
 
 
@@ -293,6 +293,18 @@ _OVERLAP = f"""
     s AS (SELECT item_id, doc_id, CASE WHEN len(h) = 0 OR len(t) = 0 THEN 0 ELSE round(len(list_filter(h, lambda w: list_contains(t, w))) / len(h)::DOUBLE, 6) END AS overlap FROM o)"""
 
 ORACLES = {
+    "fanout_union": BM25_SQL
+    + """,
+        u AS (SELECT query_id, doc_id, score, 0 AS side, rank FROM r WHERE rank <= 20 AND rank % 2 = 1 UNION ALL SELECT query_id, doc_id, score, 1, rank FROM r WHERE rank <= 20 AND rank % 3 = 1),
+        f AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY side, rank) AS n FROM u)
+        SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY side, rank) AS rank FROM f WHERE n = 1""",
+    "grade_filter": BM25_SQL
+    + """,
+        k AS (SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM r WHERE rank <= 20 AND doc_id % 3 <> 0)
+        SELECT query_id, doc_id, rank FROM k WHERE n <= 3""",
+    "tok_ident": """
+        SELECT table_name AS name, string_agg(replace(lower(column_name), '_', ' '), ' ' ORDER BY column_index) AS tokens
+        FROM duckdb_columns() WHERE table_name IN ('orders', 'lineitem', 'part') GROUP BY 1""",
     "tok_overlap": f"SELECT doc_id, len(t) AS n, array_to_string(t[1:10], ' ') AS head FROM (SELECT doc_id, {_OT.format('text')} AS t FROM documents)",
     "tok_question": "SELECT doc_id, len(list_distinct(list_filter(string_split_regex(regexp_replace(lower(substr(text, 1, 300)), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3))) AS n FROM documents",
     "est_tokens": "SELECT doc_id, ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::INT AS tokens FROM documents",
