@@ -37,13 +37,13 @@ def summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def report(rows: DataFrame, title: str) -> DataFrame:
     """(seq, line): the report's lines in order."""
-    pct = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
+    pct = lambda c: F.format_string("%.1f%%", F.round(F.col(c) * 100, 1))
     s = summary(rows).select(
         F.posexplode(
             F.array(
                 F.lit(f"# {title}"),
                 F.format_string("**Total Questions:** %d", "total"),
-                F.format_string("**Passed:** %d / %d (%.1f%%)", "passed", "total", F.col("passed") / F.greatest("total", F.lit(1)) * 100),
+                F.format_string("**Passed:** %d / %d (%.1f%%)", "passed", "total", F.round(F.col("passed") / F.greatest("total", F.lit(1)) * 100, 1)),
                 F.concat(F.lit("**Routing Accuracy:** "), pct("routing_accuracy")),
                 F.concat(F.lit("**Avg Recall@K:** "), pct("avg_recall")),
                 F.format_string("**Avg Latency:** %.0fms", "avg_latency_ms"),

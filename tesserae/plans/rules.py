@@ -303,12 +303,12 @@ ORACLES = {
         u AS (SELECT {_SUM} FROM g), c AS (SELECT lang, {_SUM} FROM g GROUP BY 1)
         SELECT 0 AS part, '' AS key, 0 AS n, '# Evaluation Report' AS line
         UNION ALL SELECT 0, '', 1, '**Total Questions:** ' || total FROM u
-        UNION ALL SELECT 0, '', 2, printf('**Passed:** %d / %d (%.1f%%)', passed, total, passed / total * 100) FROM u
-        UNION ALL SELECT 0, '', 3, printf('**Routing Accuracy:** %.1f%%', routing_accuracy * 100) FROM u
-        UNION ALL SELECT 0, '', 4, printf('**Avg Recall@K:** %.1f%%', avg_recall * 100) FROM u
+        UNION ALL SELECT 0, '', 2, printf('**Passed:** %d / %d (%.1f%%)', passed, total, round(passed / total * 100, 1)) FROM u
+        UNION ALL SELECT 0, '', 3, printf('**Routing Accuracy:** %.1f%%', round(routing_accuracy * 100, 1)) FROM u
+        UNION ALL SELECT 0, '', 4, printf('**Avg Recall@K:** %.1f%%', round(avg_recall * 100, 1)) FROM u
         UNION ALL SELECT 0, '', 5, printf('**Avg Latency:** %.0fms', avg_latency_ms) FROM u
-        UNION ALL SELECT 1, lang, 0, printf('- **%s**: %d/%d passed, routing %.1f%%', lang, passed, total, routing_accuracy * 100) FROM c
-        UNION ALL SELECT 2, doc_id::VARCHAR, 0, printf('### %s %s recall %.1f%%', doc_id::VARCHAR, CASE WHEN doc_id % 17 = 0 THEN '❌ ERROR' WHEN pass THEN '✅ PASS' ELSE '❌ FAIL' END, rec * 100) FROM g""",
+        UNION ALL SELECT 1, lang, 0, printf('- **%s**: %d/%d passed, routing %.1f%%', lang, passed, total, round(routing_accuracy * 100, 1)) FROM c
+        UNION ALL SELECT 2, doc_id::VARCHAR, 0, printf('### %s %s recall %.1f%%', doc_id::VARCHAR, CASE WHEN doc_id % 17 = 0 THEN '❌ ERROR' WHEN pass THEN '✅ PASS' ELSE '❌ FAIL' END, round(rec * 100, 1)) FROM g""",
     "eval_ir_metrics": BM25_SQL
     + """,
         good AS (SELECT doc_id FROM labels WHERE quality = 1), total AS (SELECT count(*) AS n FROM good),
