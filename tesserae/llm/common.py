@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.shipping import ship
+
 #: Rows of an Arrow batch. Texts may be long, and two workers share an executor.
 BATCH_ROWS = 1000
 
@@ -17,7 +19,8 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for long texts."""
+    """Sends this package to the executors and keeps Arrow batches small enough for long texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
