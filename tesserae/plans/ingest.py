@@ -276,6 +276,15 @@ ORACLES = {
     "snk_legacy_migrate": "SELECT vec_id, 't' || vec_id AS text, len(embedding) AS dim, round(embedding[64]::DOUBLE, 4) AS last FROM embeddings WHERE vec_id < 100 AND vec_id % 5 <> 4",
     "sse_concat": "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1",
     "embed_reject": "SELECT source, max(ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)) > 8192 AS rejected FROM documents GROUP BY 1",
+    "embed_batch": """
+        WITH RECURSIVE t AS (
+            SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::BIGINT AS k FROM documents),
+        r AS (
+            SELECT source, i, 0 AS b, 1 AS n, k AS s, k FROM t WHERE i = 1
+            UNION ALL
+            SELECT source, t.i, CASE WHEN n >= 64 OR s + t.k > 8192 THEN b + 1 ELSE b END, CASE WHEN n >= 64 OR s + t.k > 8192 THEN 1 ELSE n + 1 END, CASE WHEN n >= 64 OR s + t.k > 8192 THEN t.k ELSE s + t.k END, t.k
+            FROM r JOIN t USING (source) WHERE t.i = r.i + 1)
+        SELECT source, b AS batch, count(*) AS n, sum(k) AS tokens FROM r GROUP BY ALL""",
     "stream_index": """
         WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new words only' ELSE text END AS text FROM documents),
         t AS (SELECT doc_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 1)) AS w FROM d)

@@ -197,6 +197,20 @@ ORACLES = {
     "vec_cross_score": _WITH.format(which="< 20") + " SELECT query_id, count(*) AS n, max(score) AS best, min(score) AS worst FROM s GROUP BY 1",
     "score_gate": _WITH.format(which="< 20") + " SELECT * FROM s WHERE score >= 0.25",
     "hit_hydrate": _WITH.format(which="< 20") + _KNN + " SELECT k.*, lang, source FROM k JOIN documents ON doc_id = vec_id WHERE rank <= 8 AND score >= 0",
+    "mmr_select": _WITH.format(which="< 20")
+    + _KNN
+    + """,
+    c AS (SELECT query_id, k.vec_id, score, embedding::DOUBLE[] AS e FROM k JOIN embeddings USING (vec_id) WHERE rank <= 24 AND k.vec_id <> query_id),
+    s1 AS (SELECT query_id, vec_id, score, e, 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM c) WHERE n = 1)"""
+    + "".join(
+        f""",
+    v{n} AS (SELECT c.query_id, c.vec_id, c.score, c.e, round(0.7::DOUBLE * c.score - 0.3::DOUBLE * greatest(0, max(list_dot_product(c.e, s.e))), 9) AS v
+        FROM c JOIN s{n - 1} s USING (query_id) GROUP BY c.query_id, c.vec_id, c.score, c.e HAVING count(*) FILTER (s.vec_id = c.vec_id) = 0),
+    s{n} AS (SELECT * FROM s{n - 1} UNION ALL
+        SELECT query_id, vec_id, score, e, {n} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, score DESC, vec_id) AS n FROM v{n}) WHERE n = 1)"""
+        for n in (2, 3, 4)
+    )
+    + " SELECT query_id, vec_id, score, rank FROM s4",
     "tok_bm25": "WITH " + _TOKS + " SELECT doc_id, len(t) AS n, array_to_string(t[1:12], ' ') AS head FROM tk",
     "bm25_tf": "WITH " + _TOKS + " SELECT * FROM po",
     "bm25_df": "WITH " + _TOKS + " SELECT term, count(*) AS df FROM po GROUP BY 1",
