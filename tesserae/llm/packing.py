@@ -11,7 +11,8 @@ often as they occur, an empty table gives an empty result, other columns are ign
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,56 +25,50 @@ from tesserae.llm import common
 
 #: Pieces that one packing task handles, bins it holds open, and pieces that it looks at together.
 PACKER_PIECES, OPEN_BINS, LOOK_AHEAD = 131_072, 4096, 4096
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+# The byte-level vocabulary's word pattern.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-# The byte-level vocabulary's word pattern, spelled out for the characters up to U+00FF.
-_LETTER, _NUMBER, _SPACE = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
-_WORDS = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+"
-    rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-)
+
+def _byte_of() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies: printable bytes stand for themselves, others for what follows U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class Encoder:
-    """Texts to ids, as little-endian unsigned 32-bit bytes; equal to encoding each whole text.
+    """Texts to ids, as little-endian unsigned 32-bit bytes; equal to what the tokenizer gives for each whole text.
 
-    The tokenizer never merges across words of its pattern, so ids are looked up word by word and only
-    words not seen before go through it. Texts with characters above U+00FF or with a special token go
-    through it whole.
+    The tokenizer's own file is read as ranks for the faster encoder where its ids rise in the order of
+    its merges, as byte-level vocabularies do. Texts with characters above U+00FF, on whose classes the
+    two libraries might differ, and texts with a special token go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task; Spark runs the tasks in parallel
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self.fast = None
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, byte_of = model["vocab"], _byte_of()
+        merges = (m.split(" ") if isinstance(m, str) else m for m in model.get("merges", []))
+        order = [vocabulary["".join(m)] for m in merges]
+        if order and order == sorted(set(order)) and all(vocabulary.get(c, 1 << 31) < order[0] for c in byte_of):
+            ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t not in self.special}
+            self.fast = tiktoken.Encoding("ranks", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        whole, by_word = [], []
-        for i, t in enumerate(texts):
-            plain = t.isascii() or max(t) <= "\xff"
-            if plain and not any(s in t for s in self.special):
-                by_word.append((i, _WORDS.findall(t)))
+        out = []
+        for t in texts:
+            plain = self.fast is not None and (t.isascii() or max(t) <= "\xff") and not any(s in t for s in self.special)
+            if plain:
+                out.append(self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes())
             else:
-                whole.append(i)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for _, words in by_word for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update(zip(part, self._ids(part)))
-        for i, words in by_word:
-            out[i] = b"".join(map(known.__getitem__, words))
-        for i in whole:
-            out[i] = self._ids([texts[i]])[0]
+                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
         return out
 
 
