@@ -60,14 +60,16 @@ def fold(doc_id: Column | str) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int, by: str | None = None) -> DataFrame:
-    """About `bound` rows (of each value of `by`), chosen by a hash of `key`; all rows where there are no more."""
+def bounded_sample(df: DataFrame, key: str, bound: int, by: str | None = None, total: int | None = None) -> DataFrame:
+    """About `bound` rows (of each value of `by`, and about `total` of all), chosen by a hash of `key`; all rows where there are no more."""
     cells = 1 << 20
     cell = F.pmod(F.xxhash64(F.col(key)), F.lit(cells))
     if by is None:
         n = df.count()
         return df if n <= bound else df.filter(cell < int(cells * bound / n))
     counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if total is not None and counts:
+        bound = min(bound, max(1, total // len(counts)))
     share = F.lit(cells)
     for value, n in sorted(counts.items(), key=str):
         share = F.when(F.col(by) == value, int(cells * min(1.0, bound / n))).otherwise(share)

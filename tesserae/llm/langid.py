@@ -5,8 +5,8 @@ loss-weighted decoding picks the language whose codeword costs least under the l
 is the share of the chosen codeword in the softmax of the losses; a small lead over the second marks
 the document ambiguous.
 
-Trained on at most TRAIN_PER_LANG documents of each language (a documented bound) outside the held-out
-fold. Edge cases: a text that is null or has no letter is `und` with score 0; rows without a language
+Trained on at most TRAIN_PER_LANG documents of each language and TRAIN_TOTAL of all (documented bounds)
+outside the held-out fold. Edge cases: a text that is null or has no letter is `und` with score 0; rows without a language
 never train; with no labelled row everything is `und`; repeated rows get equal answers; other columns
 are ignored.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import common
 
-TRAIN_PER_LANG = 1000
+TRAIN_PER_LANG, TRAIN_TOTAL = 1000, 8000
 BUCKETS = 4096
 AMBIGUOUS_BELOW = 0.05
 _LETTER = re.compile(r"[^\W\d_]")
@@ -116,7 +116,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = 250, rate: float = 4.0
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = TRAIN_PER_LANG) -> Model:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
     rows = rows.filter((common.fold("_id") != 2) & F.col("_l").isNotNull() & F.col("_t").rlike(r"\p{L}"))
-    got = common.bounded_sample(rows, "_id", bound, "_l").orderBy("_id", "_l", "_t").toPandas()
+    got = common.bounded_sample(rows, "_id", bound, "_l", TRAIN_TOTAL).orderBy("_id", "_l", "_t").toPandas()
     return fit(got["_t"].tolist(), got["_l"].tolist())
 
 
