@@ -41,36 +41,41 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Tests:
-    """A block of test items: vocabulary, their suffixes as padded rows of word numbers, and their windows."""
+    """A block of test items: vocabulary, their words laid end to end, all their suffixes, and their windows."""
 
     vocabulary: dict[bytes, int]
-    suffixes: np.ndarray  # one row for each place in each distinct item, padded by 0
-    suffix_len: np.ndarray
-    windows: np.ndarray  # rows of `suffixes` that begin a window, no content twice
+    flat: np.ndarray  # word numbers of the distinct items, a 0 behind each
+    starts: np.ndarray  # of every suffix
+    lengths: np.ndarray
+    windows: np.ndarray  # suffixes that begin a window, no content twice
     window_len: np.ndarray
     owners: list[list[str]]  # items of each window
 
     @classmethod
     def of(cls, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> Tests:
         vocabulary: dict[bytes, int] = {}
-        coded = [(i, [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]) for i, words in items if words]
-        longest = max((len(c) for _, c in coded), default=0)
-        rows, lens, owners, heads = [], [], {}, {}
-        seen: set[tuple[int, ...]] = set()
+        coded = [(i, tuple(vocabulary.setdefault(w, len(vocabulary) + 1) for w in words)) for i, words in items if words]
+        places: dict[tuple[int, ...], int] = {}
+        flat, starts, lengths, first = [], [], [], {}
+        for _, c in coded:
+            if c not in places:
+                places[c], first[c] = len(flat), len(starts)
+                starts += range(len(flat), len(flat) + len(c))
+                lengths += range(len(c), 0, -1)
+                flat += [*c, 0]
+        owners, heads = {}, {}
         for item, c in coded:
             size = min(window, len(c))
-            for s in range(len(c)):
-                row = len(rows)
-                if tuple(c) not in seen:
-                    rows.append(np.pad(np.array(c[s:], "i4"), (0, longest - len(c) + s)))
-                    lens.append(len(c) - s)
-                if s + size <= len(c):
-                    key = tuple(c[s : s + size])
-                    heads.setdefault(key, row)
-                    owners.setdefault(key, set()).add(item)
-            seen.add(tuple(c))
+            for s in range(len(c) - size + 1):
+                key = c[s : s + size]
+                heads.setdefault(key, first[c] + s)
+                owners.setdefault(key, set()).add(item)
         keys = list(heads)
-        return cls(vocabulary, np.array(rows, "i4").reshape(len(rows), longest), np.array(lens, "i4"), np.array([heads[k] for k in keys], int), np.array([len(k) for k in keys], int), [sorted(owners[k]) for k in keys])
+        return cls(vocabulary, np.array(flat, "i4"), np.array(starts, int), np.array(lengths, int), np.array([heads[k] for k in keys], int), np.array([len(k) for k in keys], int), [sorted(owners[k]) for k in keys])
+
+    @property
+    def longest(self) -> int:
+        return int(self.lengths.max()) if len(self.lengths) else 0
 
 
 def suffix_array(a: np.ndarray, deep: int) -> np.ndarray:
@@ -88,26 +93,33 @@ def suffix_array(a: np.ndarray, deep: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def _compare(text: np.ndarray, at: np.ndarray, pattern: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sign of suffix minus pattern within depth words, length of the common prefix) row by row."""
-    wide = pattern.shape[1]
-    got = text[at[:, None] + np.arange(wide)]
-    differ = (got != pattern) | (np.arange(wide) >= depth[:, None])
-    differ[:, -1] |= ~differ.any(1)
-    first = differ.argmax(1)
-    whole = (first >= depth) | ((first == wide - 1) & (got[:, -1] == pattern[:, -1]) & (depth == wide))
-    rows = np.arange(len(at))
-    sign = np.where(whole, 0, np.sign(got[rows, first].astype("i8") - pattern[rows, first]))
-    return sign, np.where(whole, depth, first)
-
-
-def _bisect(text: np.ndarray, order: np.ndarray, pattern: np.ndarray, depth: np.ndarray, right: bool) -> np.ndarray:
-    """Place of each pattern among the sorted suffixes, compared on `depth` words: before or behind equals."""
-    lo, hi = np.zeros(len(pattern), int), np.full(len(pattern), len(order))
+def _compare(text: np.ndarray, at: np.ndarray, flat: np.ndarray, start: np.ndarray, depth: np.ndarray, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(sign of text suffix minus test suffix within depth words, length of the common prefix) row by row.
+
+    Rows are compared `step` words at a time for as long as they agree.
+    """
+    sign, shared, rows, done = np.zeros(len(at), int), np.zeros(len(at), int), np.arange(len(at)), 0
+    while len(rows):
+        cols = done + np.arange(step)
+        got = text[np.minimum(at[rows, None] + cols, len(text) - 1)]
+        want = flat[np.minimum(start[rows, None] + cols, len(flat) - 1)]
+        differ = (got != want) | (cols >= depth[rows, None])
+        first, ends = differ.argmax(1), differ.any(1)
+        here, place = rows[ends], first[ends]
+        shared[here] = np.minimum(done + place, depth[here])
+        k = np.flatnonzero(ends)
+        sign[here] = np.where(done + place >= depth[here], 0, np.sign(got[k, place].astype(int) - want[k, place]))
+        rows, done = rows[~ends], done + step
+    return sign, shared
+
+
+def _bisect(text: np.ndarray, order: np.ndarray, flat: np.ndarray, start: np.ndarray, depth: np.ndarray, right: bool) -> np.ndarray:
+    """Place of each test suffix among the sorted suffixes, compared on `depth` words: before or behind equals."""
+    lo, hi = np.zeros(len(start), int), np.full(len(start), len(order))
     while (open_ := lo < hi).any():
         rows = np.flatnonzero(open_)
         mid = (lo[rows] + hi[rows]) // 2
-        sign, _ = _compare(text, order[mid], pattern[rows], depth[rows])
+        sign, _ = _compare(text, order[mid], flat, start[rows], depth[rows])
         up = sign <= 0 if right else sign < 0
         lo[rows[up]] = mid[up] + 1
         hi[rows[~up]] = mid[~up]
@@ -130,27 +142,27 @@ class Shard:
         sizes = end - begin + 1  # a 0 ends each run
         ends = np.cumsum(sizes)
         self.place = np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)  # in ids
-        self.text = np.concatenate([ids[self.place] if len(self.place) else np.zeros(0, "i4"), np.zeros(tests.suffixes.shape[1] + 1, "i4")])
+        self.text = np.concatenate([ids[self.place] if len(self.place) else np.zeros(0, "i4"), np.zeros(1, "i4")])
         if len(ends):
             self.text[ends - 1] = 0
         used = self.text[: len(self.place)]
-        order = suffix_array(used, tests.suffixes.shape[1])
+        order = suffix_array(used, tests.longest)
         self.order = order[used[order] != 0]
         self.size = len(ids)
 
     def longest(self) -> tuple[np.ndarray, np.ndarray]:
         """For each test suffix the length of its longest match here and where that begins (-1: no match)."""
         t = self.tests
-        if not len(self.order) or not len(t.suffixes):
-            return np.zeros(len(t.suffixes), int), np.full(len(t.suffixes), -1)
-        at = _bisect(self.text, self.order, t.suffixes, t.suffix_len, False)
-        best, where = np.zeros(len(at), int), np.full(len(at), -1)
+        best, where = np.zeros(len(t.starts), int), np.full(len(t.starts), -1)
+        if not len(self.order) or not len(t.starts):
+            return best, where
+        at = _bisect(self.text, self.order, t.flat, t.starts, t.lengths, False)
         for near in (at - 1, at):
             ok = (near >= 0) & (near < len(self.order))
             pos = self.order[np.clip(near, 0, len(self.order) - 1)]
-            _, common_ = _compare(self.text, pos, t.suffixes, t.suffix_len)
-            better = ok & (common_ > best)
-            best[better], where[better] = common_[better], self.place[pos[better]]
+            _, shared = _compare(self.text, pos, t.flat, t.starts, t.lengths)
+            better = ok & (shared > best)
+            best[better], where[better] = shared[better], self.place[pos[better]]
         return best, where
 
     def hits(self) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
@@ -161,9 +173,9 @@ class Shard:
         if len(self.order) and len(t.windows):
             best, _ = self.longest()
             live = np.flatnonzero(best[t.windows] >= t.window_len)
-            pattern, depth = t.suffixes[t.windows[live]], t.window_len[live]
-            lo = _bisect(self.text, self.order, pattern, depth, False)
-            hi = _bisect(self.text, self.order, pattern, depth, True)
+            start, depth = t.starts[t.windows[live]], t.window_len[live]
+            lo = _bisect(self.text, self.order, t.flat, start, depth, False)
+            hi = _bisect(self.text, self.order, t.flat, start, depth, True)
             for w, a, b, n in zip(live.tolist(), lo, hi, depth):
                 at = self.place[self.order[a:b]]
                 np.add.at(covered, at, 1)

@@ -77,3 +77,15 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.op10_suffix_decontamination(spark, "", d, none).first().contaminated is False
     assert dc.op10_suffix_decontamination(spark, "", d.limit(0), none).count() == 0
+
+
+def test_long_items_and_documents():
+    rng = random.Random(3)
+    item = [b"%d" % rng.randrange(50) for _ in range(30_000)]
+    tests = dc.Tests.of([("i", item), ("j", [b"1"] * 5000)])
+    doc = [b"z"] + item[1000:9000] + [b"z"] + [b"1"] * 300
+    shard = dc.Shard([doc, [b"1"] * 12], tests)
+    best, where = shard.longest()
+    assert best[1000] == 8000 and where[1000] == 1
+    hit, pairs, bounds = shard.hits()
+    assert hit[: len(doc)].sum() == 8300 and {tests.owners[w][0] for d, w in pairs if d == 1} == {"j"}
