@@ -21,6 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large: every larger neighbour of a node is linked to the node's smallest; small: the smaller ones and the node itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_k"), F.least("u", "m").alias("m"))
+    least = common.staged(least, "least")  # a table of its own, so that a node of very many edges is split in the join
     joined = both.join(least, both["u"] == least["_k"])
     if large:
         return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

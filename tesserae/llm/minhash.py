@@ -38,7 +38,7 @@ SHINGLE = 5
 BLOCK_DOCS = 1024
 #: Up to so many candidate ids are broadcast to the scan of texts; beyond that, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 _U = np.uint64
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, SHINGLE + 1)], _U)
 
@@ -224,6 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int, bands: int, rows: int, id_col
     classes = common.staged(usable.groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands")), "classes")
     keys = classes.select("cid", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).filter("leader < last")
+    buckets = common.staged(buckets, "buckets")  # a table of its own, so that a hot bucket is split in the join
     stars = keys.join(buckets.select("key", "leader"), "key").filter("cid <> leader").select("cid", "leader").distinct()
     cluster_of = common.staged(components(stars, "cid", "leader").select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "clusters")
     common.discard(classes)

@@ -371,9 +371,11 @@ def repeated_spans(source: DataFrame) -> tuple[DataFrame, int]:
     drawn = common.staged(_seeds(source), "seeds")
     pairs = drawn.select("key", F.explode(F.arrays_zip("seeds", "places")).alias("a")).select("key", F.col("a.seeds").alias("seed"), F.col("a.places").alias("place"))
     often = drawn.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
+    often = common.staged(often, "often")  # a table of its own, so that both sides of the join are dealt anew and a hot seed is split
     places = pairs.join(often, "seed").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"))
     places = common.staged(places, "places")
     common.discard(drawn)
+    common.discard(often)
     n = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-n // MERGED))
     sent = common.staged(_runs(_joined(source, places, 8 * n, "inner"), parts), "runs")

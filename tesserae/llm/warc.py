@@ -171,7 +171,8 @@ def read_records(archives: DataFrame, content_col: str = "content", with_payload
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, copies, request, response (of type response or revisit), metadata."""
     linked = records.filter("concurrent_to IS NOT NULL").select(F.col("record_id").alias("_via"), F.col("concurrent_to").alias("_next")).dropDuplicates(["_via"])
-    onward = records.join(linked, records["concurrent_to"] == linked["_via"], "left").drop("_via")
+    to = F.coalesce("concurrent_to", F.concat(F.lit("none "), "record_id"))  # records without one spread out instead of meeting at null
+    onward = records.join(linked, to == F.col("_via"), "left").drop("_via")
     key = F.coalesce("_next", "concurrent_to", "record_id")
     parts = {
         "request": ("request", ["record_id", "target_uri", "http"]),
