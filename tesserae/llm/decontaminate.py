@@ -7,11 +7,13 @@ binary-searched in the shard: the place in the order gives its longest verbatim
 windows the whole interval of equal prefixes, that is, all locations. Words inside any occurrence are hit.
 
 The benchmark reaches the shards by broadcast in blocks of at most BLOCK_BYTES; a larger benchmark
-takes more passes over the documents instead of a larger broadcast.
+takes more passes over the documents instead of a larger broadcast. Each pass writes what it found and
+lets go of its block; passes are put together by a number that every document row gets once.
 
-Edge cases: null and empty texts have no words; an item without words has no window; repeated items
-count once each by item_id; repeated document rows give one row each; an empty benchmark hits nothing;
-item ids that are null are left out; other columns are ignored.
+Edge cases: null and empty texts have no words; texts and items of any length are searched whole; an
+item without words has no window; repeated items count once each by item_id; repeated document rows, and
+rows without a doc_id, give one row each with their own counts; an empty benchmark hits nothing; item ids
+that are null are left out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import common
@@ -184,7 +186,7 @@ class Shard:
         return np.cumsum(covered)[:-1] > 0, pairs, self.bounds
 
 
-def find_overlaps(docs: DataFrame, tests: Tests, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
+def find_overlaps(docs: DataFrame, tests: Tests, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_words, spans of hit words as (begin, end) pairs, and the ids of items with occurring windows."""
     schema = "doc_id long, n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
     shared = docs.sparkSession.sparkContext.broadcast(tests)
@@ -221,11 +223,19 @@ def find_overlaps(docs: DataFrame, tests: Tests, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def test_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Tests]:
-    """The benchmark in blocks whose texts have at most about block_bytes, fetched one after another."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-total // block_bytes))
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
+
+
+def count_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
+    """In how many blocks the benchmark's texts come when each has about block_bytes at most."""
+    total = _items(benchmark, item_col, text_col).agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
+    return max(1, -(-total // block_bytes))
+
+
+def test_blocks(benchmark: DataFrame, blocks: int, item_col: str = "item_id", text_col: str = "text") -> Iterator[Tests]:
+    """The benchmark in so many blocks, fetched one after another."""
+    items = _items(benchmark, item_col, text_col)
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
         yield Tests.of([(r["i"], words_of(r["t"])) for r in part.orderBy("i", "t").toLocalIterator()])
@@ -238,29 +248,41 @@ def _summary(found: DataFrame, item_filter: bool = True) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), longest.alias("longest_run"))
 
 
-def overlap_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """find_overlaps over all blocks of the benchmark; spans of several blocks are merged."""
-    parts = [find_overlaps(docs, t) for t in test_blocks(benchmark)]
-    if len(parts) == 1:
-        return parts[0]
-    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    merged = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    join = F.aggregate(
-        "spans",
+def _touching(spans: Column) -> Column:
+    """Sorted spans with those that overlap or touch made one."""
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    return F.aggregate(
+        spans,
         F.expr("cast(array() as array<struct<begin:long,end:long>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["begin"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["begin"].alias("begin"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
+        lambda acc, x: F.when(
+            (F.size(acc) > 0) & (last(acc)["end"] >= x["begin"]),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["begin"].alias("begin"), F.greatest(last(acc)["end"], x["end"]).alias("end")))),
+        ).otherwise(F.concat(acc, F.array(x))),
     )
-    return keyed.select("doc_id").join(merged.withColumn("spans", join), "doc_id")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlap_report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """find_overlaps over all blocks of the benchmark: one row for each row of docs, whatever the number of blocks."""
+    blocks = count_blocks(benchmark, block_bytes=block_bytes)
+    if blocks == 1:
+        return find_overlaps(docs, next(test_blocks(benchmark, blocks)))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = common.staged(rows, "numbered")  # numbers stay as they are once written
+    parts = None
+    for tests in test_blocks(benchmark, blocks):
+        found = find_overlaps(rows, tests, id_col="_row").withColumnRenamed("doc_id", "_row")
+        part = common.staged(found if parts is None else found.filter("size(spans) > 0"), "block-hits")
+        parts = part if parts is None else parts.unionByName(part)
+    merged = parts.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return rows.select("_row", "doc_id").join(merged, "_row").select("doc_id", "n_words", _touching(F.col("spans")).alias("spans"), "items")
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, that no benchmark window touches."""
     out = docs
     names, at = docs.columns, docs.columns.index(text_col)
-    for tests in test_blocks(benchmark):
+    blocks = count_blocks(benchmark, block_bytes=block_bytes)
+    for tests in test_blocks(benchmark, blocks):
         shared = docs.sparkSession.sparkContext.broadcast(tests)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -271,6 +293,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
                 yield batch.filter(pa.array(keep))
 
         out = out.select(*names).mapInArrow(run, docs.schema)
+        if blocks > 1:
+            out = common.staged(out, "clean")
+            shared.destroy()
     return out
 
 

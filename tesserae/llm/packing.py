@@ -3,16 +3,20 @@
 Documents become token ids, each ended by one extra id; documents longer than a sequence are cut into
 full pieces, of which only the first may be shorter. Bounded-space best-fit then puts pieces into
 sequences: a fixed number of bins is open, a bitset indexed by free space finds the tightest one that
-fits, and when a new bin is needed while all are open, the fullest closes.
+fits, and when a new bin is needed while all are open, the fullest closes. A packer looks at LOOK_AHEAD
+pieces together and takes the longest of them first, so it is online in blocks and not piece by piece.
 
 Edge cases: a null text counts as empty (its document is the end id alone), repeated rows are packed as
-often as they occur, an empty table gives an empty result, other columns are ignored.
+often as they occur, texts of any length are encoded whole (also megabytes of white space or of one
+letter), pieces of equal length are taken in a fixed order, an empty table gives an empty result, other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +29,7 @@ from tesserae.llm import common
 
 #: Pieces that one packing task handles, bins it holds open, and pieces that it looks at together.
 PACKER_PIECES, OPEN_BINS, LOOK_AHEAD = 131_072, 4096, 4096
+_LONG_SPACE = re.compile(r"\s{1000}")  # the faster encoder's pattern runs out of stack on much longer runs
 # The byte-level vocabulary's word pattern.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -41,7 +46,8 @@ class Encoder:
 
     The tokenizer's own file is read as ranks for the faster encoder where its ids rise in the order of
     its merges, as byte-level vocabularies do. Texts with characters above U+00FF, on whose classes the
-    two libraries might differ, and texts with a special token go through the tokenizer itself.
+    two libraries might differ, texts with a special token, and texts with very long runs of white space
+    go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -64,7 +70,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for t in texts:
-            plain = self.fast is not None and (t.isascii() or max(t) <= "\xff") and not any(s in t for s in self.special)
+            plain = self.fast is not None and (t.isascii() or max(t) <= "\xff") and not any(s in t for s in self.special) and not _LONG_SPACE.search(t)
             if plain:
                 out.append(self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes())
             else:

@@ -49,14 +49,19 @@ def test_against_brute_force(spark):
 
 
 def test_blocks_agree(spark, monkeypatch):
+    """Several blocks against brute force and against one block, with repeated and null ids."""
     docs, items = cases(9)
-    docs = [r for i, r in enumerate(docs) if r[0] not in {x[0] for x in docs[:i]}]
-    d = spark.createDataFrame(docs, "doc_id long, text string")
+    docs += [(None, docs[3][1]), (None, docs[6][1]), (3, docs[6][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
-    many = dc.test_blocks
-    monkeypatch.setattr(dc, "test_blocks", lambda x: many(x, block_bytes=120))
+    one = dc.op10_suffix_decontamination(spark, "", d, b).collect()
+    kept = dc.remove_contaminated(d, b).collect()
+    monkeypatch.setattr(dc.overlap_report, "__defaults__", (40,))
+    assert dc.count_blocks(b, block_bytes=40) > 3
     got = dc.op10_suffix_decontamination(spark, "", d, b).collect()
+    assert sorted(got, key=str) == sorted(one, key=str)
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=str) == brute(docs, items)
+    assert sorted(dc.remove_contaminated(d, b, block_bytes=40).collect(), key=str) == sorted(kept, key=str)
 
 
 def test_longest_matches():

@@ -19,6 +19,13 @@ def test_encoder_equals_whole_texts():
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_on_very_long_runs():
+    tok = Tokenizer.from_file(PATH)
+    encoder = packing.Encoder(PATH)
+    for text in (" " * 1_000_000, " " * 5_000_000, " \n" * 500_000, "a" + "\t" * 999 + "b", "ab" * 500_000, "!" * 300_000, "1" * 100_000, "\x85" * 200_000):
+        assert encoder.encode([text])[0] == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_cut():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)]
     assert packing.cut(8, 4) == [(0, 4), (4, 4)]
