@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.shipping import ship
 
@@ -60,17 +61,32 @@ def fold(doc_id: Column | str) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int, by: str | None = None, total: int | None = None) -> DataFrame:
-    """About `bound` rows (of each value of `by`, and about `total` of all), chosen by a hash of `key`; all rows where there are no more."""
+def bounded_sample(df: DataFrame, key: str, bound: int, by: str | None = None, total: int | None = None, values: int = 256) -> DataFrame:
+    """About `bound` rows (of each value of `by`, and about `total` of all), chosen by a hash of `key`; all rows where there are no more.
+
+    Of `by` the `values` most common values count, ties in order of the value. `key` has to tell rows apart.
+    """
     cells = 1 << 20
     cell = F.pmod(F.xxhash64(F.col(key)), F.lit(cells))
     if by is None:
         n = df.count()
         return df if n <= bound else df.filter(cell < int(cells * bound / n))
-    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = df.groupBy(F.col(by).alias("_value")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_value").limit(values).collect()
     if total is not None and counts:
         bound = min(bound, max(1, total // len(counts)))
-    share = F.lit(cells)
-    for value, n in sorted(counts.items(), key=str):
-        share = F.when(F.col(by) == value, int(cells * min(1.0, bound / n))).otherwise(share)
-    return df.filter(cell < share)
+    shares = [(r["_value"], int(cells * min(1.0, bound / r["_n"]))) for r in counts]
+    schema = T.StructType([T.StructField("_value", df.schema[by].dataType), T.StructField("_share", T.LongType())])
+    few = df.sparkSession.createDataFrame(shares, schema)  # at most `values` rows
+    return df.join(F.broadcast(few), df[by] == few["_value"]).filter(cell < F.col("_share")).drop("_value", "_share")
+
+
+def clear_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(_id, _y): the ids outside the held-out fold whose labels are 0 or 1 and agree; rows without an id, and ids with both labels, teach nothing."""
+    marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    marked = marked.filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (fold("_id") != 2))
+    return marked.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_top")).filter("_y = _top").drop("_top")
+
+
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each of the keys, with the least of its texts `_t`, so that copies of an id do not add to a sample."""
+    return rows.groupBy(*keys).agg(F.min("_t").alias("_t"))

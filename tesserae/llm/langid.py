@@ -5,10 +5,11 @@ loss-weighted decoding picks the language whose codeword costs least under the l
 is the share of the chosen codeword in the softmax of the losses; a small lead over the second marks
 the document ambiguous.
 
-Trained on at most TRAIN_PER_LANG documents of each language and TRAIN_TOTAL of all (documented bounds)
-outside the held-out fold. Edge cases: a text that is null or has no letter is `und` with score 0; rows without a language
-never train; with no labelled row everything is `und`; repeated rows get equal answers; other columns
-are ignored.
+Trained on about TRAIN_PER_LANG documents of each language and TRAIN_TOTAL of all, of the 256 most common
+languages (documented bounds), outside the held-out fold. Edge cases: a text that is null or has no
+letter is `und` with score 0; texts of any length are read whole; rows without a language or an id never
+train, and of several texts of an id and language the least one does; with no labelled row everything is
+`und`; repeated rows get equal answers; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -115,8 +116,8 @@ def fit(texts: list[str], langs: list[str], rounds: int = 250, rate: float = 4.0
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = TRAIN_PER_LANG) -> Model:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
-    rows = rows.filter((common.fold("_id") != 2) & F.col("_l").isNotNull() & F.col("_t").rlike(r"\p{L}"))
-    got = common.bounded_sample(rows, "_id", bound, "_l", TRAIN_TOTAL).orderBy("_id", "_l", "_t").toPandas()
+    rows = rows.filter((common.fold("_id") != 2) & F.col("_id").isNotNull() & F.col("_l").isNotNull() & F.col("_t").rlike(r"\p{L}"))
+    got = common.one_text(common.bounded_sample(rows, "_id", bound, "_l", TRAIN_TOTAL), "_id", "_l").orderBy("_id", "_l").toPandas()
     return fit(got["_t"].tolist(), got["_l"].tolist())
 
 
@@ -134,15 +135,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language is identified: not `und`, and not a text of 50 letters or more that stays ambiguous."""
+    """The rows of docs, all columns, whose language is identified, that is, not `und`. Ambiguous ones stay, whatever their length."""
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            lang, _, lead = model.decode(texts)
-            keep = [g != "und" and (d >= AMBIGUOUS_BELOW or len(t) < 50) for g, d, t in zip(lang, lead, texts)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            lang, _, _ = model.decode(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([g != "und" for g in lang], pa.bool_()))
 
     return docs.select(*names).mapInArrow(run, docs.schema)
 

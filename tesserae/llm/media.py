@@ -5,8 +5,8 @@ structure and length, so that a chance match of a magic does not count. What sta
 the declared type; whatever is confirmed further inside is carved out with its place and length.
 
 Edge cases: a null or empty text is stored as one block of spaces; null bytes sniff as null with
-nothing carved; damaged or cut-off media are not confirmed; repeated rows give equal rows; other columns
-are ignored.
+nothing carved; texts of any length are stored whole and sniffed in one pass; damaged or cut-off media
+are not confirmed; repeated rows give equal rows; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,24 +92,41 @@ def _gif(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
+class Finder(bytes):
+    """Bytes that remember where a pattern was found last, so that asking from ever later places reads them once."""
+
+    def __new__(cls, b: bytes):
+        own = super().__new__(cls, b)
+        own.known = {}
+        return own
+
+    def after(self, pattern: bytes, at: int) -> int:
+        """The first place from `at` on where the pattern stands, or -1."""
+        since, found = self.known.get(pattern, (len(self) + 1, -1))
+        if at < since or 0 <= found < at:
+            found = self.find(pattern, at)
+        self.known[pattern] = (at, found)
+        return found
+
+
+def _jpeg(b: Finder, at: int) -> tuple[str, int] | None:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         kind = b[p + 1]
         p += 2 + struct.unpack_from(">H", b, p + 2)[0]
         if kind == 0xDA:
-            end = b.find(b"\xff\xd9", p)
+            end = b.after(b"\xff\xd9", p)
             return ("image/jpeg", end + 2 - at) if end >= 0 else None
     return None
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end >= 0 and b.find(b"startxref", at, end) >= 0 and b[at + 5 : at + 6].isdigit() else None
+def _pdf(b: Finder, at: int) -> tuple[str, int] | None:
+    end = b.after(b"%%EOF", at)
+    return ("application/pdf", end + 5 - at) if end >= 0 and 0 <= b.after(b"startxref", at) <= end - 9 and b[at + 5 : at + 6].isdigit() else None
 
 
-def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: Finder, at: int) -> tuple[str, int] | None:
+    end = b.after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, offset, note = struct.unpack_from("<IIH", b, end + 12)
@@ -185,7 +202,8 @@ def _automaton() -> ahocorasick.Automaton:
 def sniff(b: bytes | None) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The confirmed type at byte 0 (None if there is none) and (type, offset, length) of the media inside."""
     own, inside, reach = None, [], 0
-    for end, (back, kind) in _automaton().iter((b or b"").decode("latin-1")):
+    b = Finder(b or b"")
+    for end, (back, kind) in _automaton().iter(b.decode("latin-1")):
         at = end - back
         if at < 0 or (inside and at < reach):
             continue

@@ -4,10 +4,11 @@ Every non-blank line gets surface features of itself and of the lines around it;
 (bad, good) gives each line's forward-backward marginal, and their mean weighted by line length is the
 document's quality, calibrated to a probability by a logistic curve.
 
-The chain is trained on at most TRAIN_DOCS labelled documents (a documented bound), each line taking
-its document's label. Edge cases: null, empty and blank texts have no lines and score 0; rows without
-a label never train; with no labels at all every other text scores 0.5; repeated rows score alike; other
-columns are ignored.
+The chain is trained on about TRAIN_DOCS labelled documents (a documented bound), each line taking its
+document's label. Edge cases: null, empty and blank texts have no lines and score 0; texts of any length
+are scored whole; rows without a label, without an id, or of an id with both labels never train, and of
+several texts of an id the least one does; with no labels at all every other text scores 0.5; repeated
+rows score alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -206,11 +207,9 @@ def _curve(z: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = TRAIN_DOCS) -> Model:
     """Fits on at most about `bound` labelled rows outside the held-out fold."""
-    marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    marked = marked.filter(F.col("_y").isin(0, 1) & (common.fold("_id") != 2)).dropDuplicates(["_id"])
-    chosen = common.bounded_sample(marked, "_id", bound // 2, "_y")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id")
-    got = rows.filter(F.col("_t").isNotNull()).orderBy("_id", "_t").toPandas()
+    chosen = common.bounded_sample(common.clear_labels(labels, id_col, label_col), "_id", bound // 2, "_y")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull()).join(F.broadcast(chosen), "_id")
+    got = common.one_text(rows, "_id", "_y").orderBy("_id").toPandas()
     return fit(got["_t"].tolist(), got["_y"].to_numpy(int))
 
 

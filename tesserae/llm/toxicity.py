@@ -7,18 +7,22 @@ phrases (given ones, and words that begin like a term but occur in clean documen
 that they cover. The weights found are normalised by length and turned into a probability by a
 logistic curve.
 
-Lexicon and curve are learned from at most TRAIN_DOCS labelled documents (a documented bound) outside
+Lexicon and curve are learned from about TRAIN_DOCS labelled documents (a documented bound) outside
 the held-out fold, beside a small fixed list. Edge cases: null and empty texts match nothing and get
-the curve's lowest score; rows without a label never train; without labels the fixed list and a fixed
-curve serve; repeated rows score alike; other columns are ignored.
+the curve's lowest score; texts of any length are matched whole, in time linear but for sorting their
+matches; rows without a label, without an id, or of an id with both labels never train, and of several
+texts of an id the least one does; without labels the fixed list and a fixed curve serve; repeated rows
+score alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -92,7 +96,10 @@ class Lexicon:
                 spared.append((start, end))
             elif start not in best or w > best[start][1]:
                 best[start] = (end + 1, w)
-        return [(s, e, w) for s, (e, w) in best.items() if not any(a <= s < b for a, b in spared)]
+        spared.sort()
+        begins, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        clear = lambda s: not (k := bisect_right(begins, s)) or reach[k - 1] <= s
+        return [(s, e, w) for s, (e, w) in best.items() if clear(s)]
 
     def features(self, texts: list) -> np.ndarray:
         """Constant, heaviest weight, log of the summed weight, and weight for each word, square root."""
@@ -128,11 +135,9 @@ def _term_counts(rows: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = TRAIN_DOCS) -> Lexicon:
-    marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    marked = marked.filter(F.col("_y").isin(0, 1) & (common.fold("_id") != 2)).dropDuplicates(["_id"])
-    chosen = common.bounded_sample(marked, "_id", bound)
+    chosen = common.bounded_sample(common.clear_labels(labels, id_col, label_col), "_id", bound)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull())
-    rows = common.staged(rows.join(F.broadcast(chosen), "_id"), "toxicity-train")
+    rows = common.staged(common.one_text(rows.join(F.broadcast(chosen), "_id"), "_id", "_y"), "toxicity-train")
     by = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = by.get(1, 0), by.get(0, 0)
     if not toxic or not clean:

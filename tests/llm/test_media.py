@@ -1,7 +1,9 @@
 import gzip
 import hashlib
 import io
+import random
 import struct
+import time
 import zipfile
 import zlib
 
@@ -71,3 +73,19 @@ def test_sniff_frame(spark):
     got = {r.doc_id: r for r in media.sniff_media(d).collect()}
     assert got[1].detected_type == "audio/wav" and got[1].corrected and [(c.type, c.offset) for c in got[1].carved] == [("image/png", 46)]
     assert got[2].detected_type is None and got[3].detected_type == "text/plain" and not got[4].corrected
+
+
+def test_many_magic_bytes_take_linear_time():
+    for piece in (b"%PDF-1 x ", b"%PDF-1 %%EOF ", b"PK\x03\x04 y ", b"\xff\xd8\xff\xda\x00\x02 "):
+        begin = time.perf_counter()
+        assert media.sniff(piece * (5_000_000 // len(piece))) == (None, [])
+        assert time.perf_counter() - begin < 30, piece
+
+
+def test_finder_agrees_with_find():
+    rng = random.Random(2)
+    b = bytes(rng.choice(b"ab") for _ in range(300))
+    f = media.Finder(b)
+    for _ in range(2000):
+        p, at = rng.choice([b"ab", b"aab", b"bbbb", b"ababab", b"aaaaaaaaaaaaaa"]), rng.randrange(310)
+        assert f.after(p, at) == b.find(p, at)

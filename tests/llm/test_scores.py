@@ -1,4 +1,6 @@
 import itertools
+import math
+import time
 
 import numpy as np
 
@@ -104,3 +106,100 @@ def test_toxicity(spark):
     none = toxicity.op9_lexicon_toxicity(spark, "", d, lab.limit(0)).collect()
     assert len(none) == d.count() and all(0 <= r.score <= 1 for r in none)
     assert toxicity.op9_lexicon_toxicity(spark, "", d.limit(0), lab).count() == 0
+
+
+def test_quality_against_enumeration(spark):
+    """The query's scores against the sum over all label sequences of each document's lines."""
+    d, lab = frames(spark)
+    model = quality.train(d, lab)
+    got = {r.doc_id: r.score for r in quality.op1_crf_quality(spark, "", d, lab).filter("doc_id < 40").collect()}
+    texts = {r.doc_id: r.text for r in d.filter("doc_id < 40").collect()}
+    for doc, text in texts.items():
+        rows, sizes = quality.line_features(text)
+        blank = [0.0] * len(rows[0])
+        full = [[*own, *(rows[i - 1] if i else blank), *(rows[i + 1] if i + 1 < len(rows) else blank)] for i, own in enumerate(rows)]
+        scores = [sum(w * (x - m) / s for w, x, m, s in zip(model.w, line, model.mean, model.spread)) for line in full]
+        marg = brute_chain(scores, model.trans)
+        q = sum(n * g for n, g in zip(sizes, marg)) / sum(sizes)
+        z = model.slope * math.log(q / (1 - q)) + model.shift
+        assert math.isclose(got[doc], 1 / (1 + math.exp(-z)), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def slow_language(model, text):
+    """Language and score by counting n-grams one by one and trying every codeword."""
+    counts = {}
+    b = f" {''.join(c if c.isalpha() else ' ' for c in text.lower())} ".encode()
+    clean = []
+    for c in b:
+        if not (c == 32 and clean and clean[-1] == 32):
+            clean.append(c)
+    for n in range(1, 5):
+        for i in range(len(clean) - n + 1):
+            g = 0
+            for c in clean[i : i + n]:
+                g = g << 8 | c
+            h = (g + ((n - 1) * 0x9E3779B1 & 0xFFFFFFFF)) % 2**32 * 0x85EBCA6B % 2**32
+            k = (h ^ h >> 15) % langid.BUCKETS
+            counts[k] = counts.get(k, 0) + 1
+    norm = math.sqrt(sum(counts.values()))
+    margin = [sum(math.sqrt(v) / norm * model.w[k, j] for k, v in counts.items()) + model.b[j] for j in range(len(model.b))]
+    loss = [sum(math.log1p(math.exp(-c * m)) for c, m in zip(word, margin)) * 2 / len(word) for word in model.code]
+    least = min(loss)
+    share = [math.exp(-2 * (v - least)) for v in loss]
+    return model.languages[loss.index(least)], max(share) / sum(share)
+
+
+def test_language_against_slow_decoding(spark):
+    d, _ = frames(spark)
+    model = langid.train(d)
+    for r in langid.op8_ecoc_language(spark, "", d).filter("doc_id < 30").join(d.select("doc_id", "text"), "doc_id").collect():
+        lang, score = slow_language(model, r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
+def slow_toxicity(lexicon, text):
+    folded = toxicity.fold(text or "")
+    words = folded.split()
+    spared, at, total, worst, places = set(), 1, 0.0, 0.0, []
+    for phrase in lexicon.exceptions:
+        for i in range(len(folded)):
+            if folded.startswith(f" {phrase} ", i):
+                spared.update(range(i, i + len(phrase) + 1))
+    for w in words:
+        heavy = max((v for t, v in lexicon.terms.items() if w.startswith(t)), default=None)
+        if heavy is not None and at - 1 not in spared:
+            total, worst = total + heavy, max(worst, heavy)
+            places.append(at - 1)
+        at += len(w) + 1
+    z = sum(c * f for c, f in zip(lexicon.curve, (1.0, worst, math.log1p(total), math.sqrt(total / max(folded.count(" "), 1)))))
+    return 1 / (1 + math.exp(-z)), len(places)
+
+
+def test_toxicity_against_slow_matching(spark):
+    d, lab = frames(spark)
+    extra = [(2000, "a trash can, and 1d10t pr00f idiot proof idiots", "en", "s", 1), (2001, "scum pond scum scum", "en", "s", 1)]
+    d = d.unionByName(spark.createDataFrame(extra, d.schema))
+    lexicon = toxicity.learn(d, lab)
+    for r in toxicity.op9_lexicon_toxicity(spark, "", d, lab).filter("doc_id < 30 or doc_id >= 2000").join(d.select("doc_id", "text").distinct(), "doc_id").collect():
+        score, n = slow_toxicity(lexicon, r.text)
+        assert abs(r.score - score) < 1e-9 and r.n_matches == n
+
+
+def test_conflicting_labels_and_null_ids_teach_nothing(spark):
+    d, lab = frames(spark)
+    both = lab.unionByName(lab.filter("doc_id < 100").selectExpr("doc_id", "1 - quality AS quality", "1 - toxic AS toxic"))
+    apart = lab.filter("doc_id >= 100")
+    one, two = quality.train(d, both), quality.train(d, apart)
+    assert np.allclose(one.w, two.w) and toxicity.learn(d, both) == toxicity.learn(d, apart)
+    nulls = d.unionByName(spark.createDataFrame([(None, f"zz {i}", "xx", "s", 1) for i in range(50)], d.schema))
+    assert langid.train(nulls).languages == langid.train(d).languages
+    copies = d.unionByName(d.filter("doc_id < 5"))
+    assert np.allclose(quality.train(copies, lab).w, quality.train(d, lab).w)
+
+
+def test_long_texts_take_linear_time():
+    lex = toxicity.Lexicon({"trash": 2.0}, ("trash can",))
+    a, text = lex.automaton(), toxicity.fold("trash can trash " * 300_000)
+    begin = time.perf_counter()
+    assert len(lex.matches(a, text)) == 300_000
+    assert time.perf_counter() - begin < 20
