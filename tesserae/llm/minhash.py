@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, percent: int, bands: int, rows: int, id_col
     usable = drawn.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = common.staged(usable.groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands")), "classes")
     known = _WordHashes()
-    keys = classes.select(F.explode("bands").alias("key"), F.col("cid").alias("id"))
+    keys = classes.select(F.explode("bands").alias("key"), F.col("cid").alias("id"), F.col("cid").alias("rank"))
     bodies = source.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
     _, linked = linking.linked(keys, bodies, lambda t: shingles(t, known), lambda x, y: [()] if alike(x, y, percent) else [], members=BLOCK_DOCS)
     groups = linked.select(F.col("node").alias("cid"), "component")
