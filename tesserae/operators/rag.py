@@ -38,6 +38,25 @@ def rerank_overlap(hits: DataFrame, by: str, hypothesis: str, content: str, seq:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def overlap_scores(docs: DataFrame, items: DataFrame, by: str, id_col: str, text_col: str, hypothesis: str) -> DataFrame:
+    """(by, id, overlap) of every item with every document that holds some of its tokens: the same share as `text.token_overlap`.
+
+    Tokens are taken once on each side and joined, so the work follows the tokens that both have.
+    """
+    asked = items.select(by, X.overlap_tokens(F.col(hypothesis)).alias("_h"))
+    terms = asked.select(by, F.size("_h").alias("_of"), F.explode("_h").alias("_token")).groupBy(by, "_of", "_token").agg(F.count(F.lit(1)).alias("_n"))
+    held = docs.select(id_col, F.explode(F.array_distinct(X.overlap_tokens(F.col(text_col)))).alias("_token"))
+    found = held.join(terms, "_token").groupBy(by, id_col).agg(F.sum("_n").alias("_n"), F.max("_of").alias("_of"))
+    return found.select(by, id_col, F.round(F.col("_n") / F.col("_of"), 6).alias("overlap"))
+
+
+def rerank_corpus(docs: DataFrame, items: DataFrame, by: str, id_col: str, text_col: str, hypothesis: str, k: int = RERANK_K) -> DataFrame:
+    """For every item the k documents of a whole table that cover most of its hypothesis, of those that cover any."""
+    order = Window.partitionBy(by).orderBy(F.desc("overlap"), id_col)
+    scored = overlap_scores(docs, items, by, id_col, text_col, hypothesis)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def grade_filter(hits: DataFrame, by: str, outcome: Column, seq: str, first: int | None = None) -> DataFrame:
     """Hits graded relevant or keep-on-error, in order, the first n of them."""
     kept = hits.filter(outcome.isin("relevant", "keep-on-error"))

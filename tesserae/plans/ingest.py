@@ -150,13 +150,13 @@ def src_model_catalog(spark, sf_dir):
 
 
 def snk_legacy_migrate(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 100")
+    e = table(spark, sf_dir, "embeddings")
     vec = F.transform("embedding", lambda x: F.round(x.cast("double"), 4))
     listed = F.concat(F.lit("["), F.array_join(vec.cast("array<string>"), ","), F.lit("]"))
     keyed = F.concat(F.lit("{"), F.array_join(F.transform(vec, lambda x, i: F.concat(F.lit('"'), i.cast("string"), F.lit('":'), x.cast("string"))), ","), F.lit("}"))
     n = F.col("vec_id").cast("string")
     one = F.when(F.col("vec_id") % 5 == 4, F.lit('{"id":null,"text":"t","embedding":[1]}')).otherwise(F.concat(F.lit('{"id":"'), n, F.lit('","text":"t'), n, F.lit('","embedding":'), F.when(F.col("vec_id") % 2 == 0, listed).otherwise(keyed), F.lit("}")))
-    raw = e.groupBy("label").agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("json"))
+    raw = e.groupBy(F.floor(F.col("vec_id") / 100)).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("json"))
     return S.migrate_legacy(raw, "m1").select(F.col("id").cast("long").alias("vec_id"), "text", F.size("embedding").alias("dim"), F.round(F.element_at("embedding", 64), 4).alias("last"))
 
 
@@ -273,7 +273,7 @@ ORACLES = {
         UNION ALL SELECT 7, 0, '{web.NO_TITLE}', '{web.NO_CONTENT}', '{web.NO_URL}'""",
     "web_fallback": "SELECT * FROM (VALUES ('none', 0), ('serper', 2), ('ddg', 2)) t(provider, n)",
     "src_model_catalog": "SELECT * FROM (VALUES (0, 'a/b-8b', 'x', 5), (1, 'c', '', 0), (2, '', 'z', 0)) t(seq, id, owned_by, created)",
-    "snk_legacy_migrate": "SELECT vec_id, 't' || vec_id AS text, len(embedding) AS dim, round(embedding[64]::DOUBLE, 4) AS last FROM embeddings WHERE vec_id < 100 AND vec_id % 5 <> 4",
+    "snk_legacy_migrate": "SELECT vec_id, 't' || vec_id AS text, len(embedding) AS dim, round(embedding[64]::DOUBLE, 4) AS last FROM embeddings WHERE vec_id % 5 <> 4",
     "sse_concat": "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1",
     "embed_reject": "SELECT source, max(ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)) > 8192 AS rejected FROM documents GROUP BY 1",
     "embed_batch": """

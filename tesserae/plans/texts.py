@@ -23,17 +23,18 @@ def _per_doc(**columns):
     return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", *[make(F.col("text")).alias(n) for n, make in columns.items()])
 
 
+def _items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("hyp"))
+
+
 def token_overlap(spark, sf_dir):
-    """Every benchmark item against all documents of a source."""
-    docs = _docs(spark, sf_dir).filter("source = 'src1'").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("hyp"))
-    return docs.join(F.broadcast(items)).select("item_id", "doc_id", F.round(X.token_overlap(F.col("hyp"), F.col("text")), 6).alias("overlap"))
+    """Overlap of every benchmark item with all documents: how many share a token, and the sum and best of the shares."""
+    s = G.overlap_scores(_docs(spark, sf_dir), _items(spark, sf_dir), "item_id", "doc_id", "text", "hyp")
+    return s.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.max("overlap").alias("best"), F.sum(F.round(F.col("overlap") * 1000000).cast("long")).alias("sum_millionths"))
 
 
 def rerank_overlap(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter("source IN ('src1', 'src2')").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("hyp"))
-    return G.rerank_overlap(docs.join(F.broadcast(items)), "item_id", "hyp", "text", "doc_id").select("item_id", "doc_id", "overlap", "rank")
+    return G.rerank_corpus(_docs(spark, sf_dir), _items(spark, sf_dir), "item_id", "doc_id", "text", "hyp").select("item_id", "doc_id", "overlap", "rank")
 
 
 def _hits(spark, sf_dir):
@@ -69,8 +70,10 @@ def udf_llm(spark, sf_dir):
 
 
 def prompt_context(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("source", "doc_id", F.substring("text", 1, 30).alias("content"), (F.col("doc_id") % 3).alias("page"))
-    return G.prompt_context(docs, "source", "doc_id").select("source", F.md5("context").alias("context_md5"), F.length("context").alias("n"))
+    """The context of each question: its best four hits with their whole texts."""
+    docs = _docs(spark, sf_dir).select("source", "doc_id", F.col("text").alias("content"), (F.col("doc_id") % 3).alias("page"))
+    hits = _hits(spark, sf_dir).filter("rank <= 4").select("query_id", "doc_id", "rank")
+    return G.prompt_context(docs.join(hits, "doc_id"), "query_id", "rank").select("query_id", F.md5("context").alias("context_md5"), F.length("context").alias("n"))
 
 
 def citation_fmt(spark, sf_dir):
@@ -131,10 +134,10 @@ def source_hash_set(spark, sf_dir):
 
 
 def semi_hash_exists(spark, sf_dir):
-    """Documents whose hash an earlier half of the ids already has."""
+    """Documents with odd ids whose hash one with an even id already has."""
     h = _hashed(spark, sf_dir).filter("source_hash <> ''")
-    old = h.filter("doc_id < 500").select("source_hash").distinct()
-    return h.filter("doc_id >= 500").join(old, "source_hash", "left_semi").select("doc_id")
+    old = h.filter("doc_id % 2 = 0").select("source_hash").distinct()
+    return h.filter("doc_id % 2 = 1").join(old, "source_hash", "left_semi").select("doc_id")
 
 
 def cached_partition(spark, sf_dir):
@@ -170,7 +173,7 @@ def json_stringify(spark, sf_dir):
 
 
 def hash_fnv1a32(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", X.fnv1a32(F.substring("text", 1, 200)).alias("hash"))
+    return _docs(spark, sf_dir).select("doc_id", X.fnv1a32(F.col("text")).alias("hash"))
 
 
 def split_sentence(spark, sf_dir):
@@ -231,7 +234,7 @@ def html_strip(spark, sf_dir):
 
 
 def html_decode(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").withColumn("t", F.concat(F.lit("&lt;a&gt; &amp;amp; &quot;&#39;&apos; "), F.substring("html", 1, 80)))
+    p = table(spark, sf_dir, "pages").withColumn("t", F.concat(F.lit("&lt;a&gt; &amp;amp; &quot;&#39;&apos; "), F.col("html")))
     return p.select("page_id", X.decode_entities(F.col("t")).alias("intended"), X.decode_entities(F.col("t"), False).alias("literal"))
 
 
@@ -243,7 +246,7 @@ def url_unwrap(spark, sf_dir):
 
 QUERIES = {
     "tok_overlap": _per_doc(n=lambda t: F.size(X.overlap_tokens(t)), head=lambda t: F.array_join(F.slice(X.overlap_tokens(t), 1, 10), " ")),
-    "tok_question": _per_doc(n=lambda t: F.size(A.question_tokens(F.substring(t, 1, 300)))),
+    "tok_question": _per_doc(n=lambda t: F.size(A.question_tokens(t))),
     "tok_ident": tok_ident,
     "est_tokens": _per_doc(tokens=X.estimated_tokens),
     "est_tokens_chars": _per_doc(tokens=X.estimated_tokens_by_chars),
@@ -289,8 +292,9 @@ QUERIES = {
 
 _OT = "list_filter(string_split_regex(lower({0}), '\\W+'), lambda w: w <> '')"
 _OVERLAP = f"""
-    o AS (SELECT item_id, doc_id, {_OT.format('b.text')} AS h, {_OT.format('d.text')} AS t FROM benchmark b, documents d WHERE source IN ({{src}})),
-    s AS (SELECT item_id, doc_id, CASE WHEN len(h) = 0 OR len(t) = 0 THEN 0 ELSE round(len(list_filter(h, lambda w: list_contains(t, w))) / len(h)::DOUBLE, 6) END AS overlap FROM o)"""
+    WITH h AS (SELECT item_id, unnest(t) AS token, len(t) AS size FROM (SELECT item_id, {_OT.format('text')} AS t FROM benchmark)),
+    d AS (SELECT DISTINCT doc_id, unnest({_OT.format('text')}) AS token FROM documents),
+    s AS (SELECT item_id, doc_id, round(count(*) / max(size)::DOUBLE, 6) AS overlap FROM h JOIN d USING (token) GROUP BY ALL)"""
 
 ORACLES = {
     "fanout_union": BM25_SQL
@@ -306,12 +310,12 @@ ORACLES = {
         SELECT table_name AS name, string_agg(replace(lower(column_name), '_', ' '), ' ' ORDER BY column_index) AS tokens
         FROM duckdb_columns() WHERE table_name IN ('orders', 'lineitem', 'part') GROUP BY 1""",
     "tok_overlap": f"SELECT doc_id, len(t) AS n, array_to_string(t[1:10], ' ') AS head FROM (SELECT doc_id, {_OT.format('text')} AS t FROM documents)",
-    "tok_question": "SELECT doc_id, len(list_distinct(list_filter(string_split_regex(regexp_replace(lower(substr(text, 1, 300)), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3))) AS n FROM documents",
+    "tok_question": "SELECT doc_id, len(list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3))) AS n FROM documents",
     "est_tokens": "SELECT doc_id, ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::INT AS tokens FROM documents",
     "est_tokens_chars": "SELECT doc_id, greatest(1, ceil(length(text) / 4.0)::INT) AS tokens FROM documents",
     "ws_collapse": "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_md5 FROM documents",
     "hash_fnv1a32": """
-        SELECT doc_id, printf('%x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(substr(text, 1, 200), ''), lambda c: unicode(c)::BIGINT)),
+        SELECT doc_id, printf('%x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)),
             lambda h, c: (xor(h, c) * 16777619) & 4294967295)) AS hash FROM documents""",
     "split_sentence": "SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s) <> '')) AS n FROM documents",
     "hard_split": """
@@ -321,14 +325,15 @@ ORACLES = {
     "split_headings": """
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS section, len(string_split(text, chr(10))) AS n FROM documents)
         SELECT doc_id, section, CASE WHEN section = 0 THEN 'Start' ELSE 'Part' END AS heading, length(body) + CASE WHEN section < n - 1 THEN 1 ELSE 0 END AS body_chars FROM l""",
-    "token_overlap": "WITH " + _OVERLAP.format(src="'src1'") + " SELECT * FROM s",
-    "rerank_overlap": "WITH " + _OVERLAP.format(src="'src1', 'src2'") + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 4",
+    "token_overlap": _OVERLAP + " SELECT item_id, count(*) AS n, max(overlap) AS best, sum(round(overlap * 1000000)::BIGINT)::BIGINT AS sum_millionths FROM s GROUP BY 1",
+    "rerank_overlap": _OVERLAP + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 4",
     "dedup_first": "SELECT lang, source, min(doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY ALL",
     "udf_llm": "SELECT CASE WHEN length(text) >= 1500 THEN 'keep-on-error' WHEN contains(text, 'the') THEN 'relevant' ELSE 'irrelevant' END AS outcome, count(*) AS n FROM documents GROUP BY 1",
-    "prompt_context": """
-        WITH c AS (SELECT source, 'DOCUMENTS:' || chr(10) || string_agg('[' || source || CASE WHEN doc_id % 3 <> 0 THEN ' p.' || (doc_id % 3) ELSE '' END || ']' || chr(10) || substr(text, 1, 30),
-            chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY 1)
-        SELECT source, md5(t) AS context_md5, length(t) AS n FROM c""",
+    "prompt_context": BM25_SQL
+    + """,
+        c AS (SELECT query_id, 'DOCUMENTS:' || chr(10) || string_agg('[' || source || CASE WHEN doc_id % 3 <> 0 THEN ' p.' || (doc_id % 3) ELSE '' END || ']' || chr(10) || text,
+            chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS t FROM r JOIN documents USING (doc_id) WHERE rank <= 4 GROUP BY 1)
+        SELECT query_id, md5(t) AS context_md5, length(t) AS n FROM c""",
     "citation_fmt": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[' || lang || '] ' ELSE '' END || substr(text, 1, 200) AS excerpt FROM documents",
     "display_trunc": "SELECT doc_id, substr(text, 1, 400) AS preview, substr(text, 1, 200) AS excerpt FROM documents ORDER BY doc_id LIMIT 20",
     "conv_title": """
@@ -342,7 +347,7 @@ ORACLES = {
     "snk_delete_by_index": "SELECT count(*) FILTER (source <> 'src3') AS n_left, count(*) FILTER (source = 'src3') AS removed FROM documents",
     "source_count": "SELECT source, count(*) AS n FROM documents GROUP BY 1",
     "source_hash_set": "SELECT source, count(DISTINCT md5(text)) AS n, min(md5(text)) AS first FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1",
-    "semi_hash_exists": "WITH h AS (SELECT doc_id, md5(text) AS m FROM documents WHERE doc_id % 7 <> 0) SELECT doc_id FROM h WHERE doc_id >= 500 AND m IN (SELECT m FROM h WHERE doc_id < 500)",
+    "semi_hash_exists": "WITH h AS (SELECT doc_id, md5(text) AS m FROM documents WHERE doc_id % 7 <> 0) SELECT doc_id FROM h WHERE doc_id % 2 = 1 AND m IN (SELECT m FROM h WHERE doc_id % 2 = 0)",
     "cached_partition": "SELECT doc_id, CASE WHEN md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 4 = 0) THEN 'cached' ELSE 'missing' END AS part FROM documents",
     "dataset_replace_union": "SELECT source, doc_id, CASE WHEN source IN ('src1', 'src2') THEN 0 ELSE n_chars END AS n_chars FROM documents WHERE source NOT IN ('src1', 'src2') OR doc_id % 3 = 0",
     "lru_evict": "SELECT user_id, max(event_id) AS last_used FROM events GROUP BY 1 ORDER BY 2 DESC LIMIT 64",
@@ -352,6 +357,6 @@ ORACLES = {
     "html_strip": "SELECT page_id, length(t) AS n, md5(t) AS text_md5 FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS t FROM pages)",
     "html_decode": """
         SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS intended,
-            replace(t, '&apos;', '''') AS literal FROM (SELECT page_id, '&lt;a&gt; &amp;amp; &quot;&#39;&apos; ' || substr(html, 1, 80) AS t FROM pages)""",
+            replace(t, '&apos;', '''') AS literal FROM (SELECT page_id, '&lt;a&gt; &amp;amp; &quot;&#39;&apos; ' || html AS t FROM pages)""",
     "url_unwrap": "SELECT page_id, url AS inner_url, url AS same_url FROM pages",
 }
