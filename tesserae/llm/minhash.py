@@ -6,19 +6,19 @@ round-and-hash; bins fill after a few rounds for all but the smallest sets, ever
 filled, and equal bins estimate similarity with concentration bounds. Bands of the sketch name buckets.
 
 1. Documents with equal sets form a class (its id: the smallest doc_id). Only classes go on.
-2. Classes that share a bucket are candidates. Each is compared, on full shingle sets, with the bucket's
-   least one, and, where that leaves a bucket in several groups, with all of the other groups in it
-   (see `linking`): every two that share a bucket and are similar enough end up in one group.
-3. Components of the confirmed links are the groups; candidates that fail join nothing.
+2. Members of a bucket are linked with its smallest; connected components of these links are clusters.
+3. Each cluster is verified on its members' full shingle sets. A cluster of more than BLOCK_DOCS is cut
+   into blocks, and every pair of blocks is a task of its own, so no task holds a whole large cluster.
+   All pairs whose sizes permit a link are compared; only links that join something are emitted.
+4. Components of the verified links are the groups.
 
-Shingles are compared by 64-bit hashes. With the default bands a pair at the threshold shares no bucket
-with a probability below one in a million, a more similar one with less.
+Shingles are compared by 64-bit hashes. With the default bands a pair at the threshold is missed with a
+probability below one in a million, a more similar one with less.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing; fewer than five words
 make one shingle; repeated rows come back once each and belong together, as do different rows of one
-doc_id; rows without a doc_id link with nothing, their component is null and they are kept; texts of any
-length enter whole, two sets being compared in time linear in them; an empty table gives none; other
-columns are ignored.
+doc_id; rows without a doc_id link with nothing, their component is null and they are kept; an empty
+table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, linking
+from tesserae.llm import common
+from tesserae.llm.components import components
 
 SHINGLE = 5
-#: Partners that one task compares with a document.
-BLOCK_DOCS = 256
+BLOCK_DOCS = 1024
+#: Entries of the matrices that compare two tiles of sets; larger ones are counted without matrices.
+CELLS = 16 << 20
+#: Up to so many candidate ids are broadcast to the scan of texts; beyond that, they are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 _REMEMBERED = 200_000
 _U = np.uint64
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(1, SHINGLE + 1)], _U)
@@ -121,15 +125,108 @@ def sketch_documents(docs: DataFrame, bands: int, rows: int, id_col: str = "doc_
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets have 100 * intersection >= percent * union."""
-    small, big = (x, y) if len(x) <= len(y) else (y, x)
-    if not len(small) or 100 * len(small) < percent * len(big):
-        return False
-    at = np.searchsorted(big, small)
-    at[at == len(big)] = 0
-    inter = int((big[at] == small).sum())
-    return 100 * inter >= percent * (len(x) + len(y) - inter)
+class _Sets:
+    """Groups of linked members, by union and find."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        if i == j:
+            return False
+        self.up[max(i, j)] = min(i, j)
+        return True
+
+
+def _overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two small lists of sorted sets: by a product of membership matrices over the rows' values, of long sets by counting them."""
+    values = np.unique(np.concatenate(rows))
+    if len(values) * (len(rows) + len(cols)) > CELLS:
+        flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(s) for s in rows])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        out = np.zeros((len(rows), len(cols)), "i8")
+        for k, s in enumerate(cols):
+            lo = np.searchsorted(flat, s, "left")
+            times = np.searchsorted(flat, s, "right") - lo
+            at = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            out[:, k] = np.bincount(owner[at], minlength=len(rows))
+        return out
+    m = np.zeros((len(rows), len(values)), "f4")
+    for k, s in enumerate(rows):
+        m[k, np.searchsorted(values, s)] = 1
+    w = np.zeros((len(cols), len(values)), "f4")
+    for k, s in enumerate(cols):
+        at = np.searchsorted(values, s)
+        at[at == len(values)] = 0
+        w[k, at[values[at] == s]] = 1
+    return np.rint(m @ w.T).astype("i8")
+
+
+def links(sets: list[np.ndarray], side: np.ndarray, percent: int, tile: int = 64) -> list[tuple[int, int]]:
+    """Pairs with 100 * intersection >= percent * union that connect all linked members; side: only pairs with sides 0 and 1, or -1: any."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    groups, found = _Sets(n), []
+    order = np.argsort(size, kind="stable")
+    tiles = [order[lo : lo + tile] for lo in range(0, n, tile)]
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        if len({groups.find(int(i)) for i in (*a, *b)}) == 1:
+            return
+        inter = _overlaps([sets[i] for i in a], [sets[i] for i in b])
+        ok = 100 * inter >= percent * (size[a][:, None] + size[b][None] - inter)
+        ok &= (side[a][:, None] != side[b][None]) | (side[a][:, None] < 0)
+        for i, j in zip(*np.nonzero(ok)):
+            i, j = int(a[i]), int(b[j])
+            if i != j and groups.join(i, j):
+                found.append((i, j))
+
+    for t in tiles:  # a middle member first: in a group of close copies it links nearly all
+        mid = order[n // 2 : n // 2 + 1]
+        compare(mid, t)
+    for p, a in enumerate(tiles):
+        for b in tiles[p:]:
+            if 100 * size[a[-1]] < percent * size[b[0]]:
+                break
+            compare(a, b)
+    return found
+
+
+def _verify(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found in each task's members. rows: task, side, cid, text; tasks arrive whole and in order."""
+
+    def solve(task: list[tuple]) -> list[tuple[int, int]]:
+        known = _WordHashes()
+        sets = [shingles(t[2], known) for t in task]
+        pairs = links(sets, np.array([t[0] for t in task]), percent)
+        return [(task[i][1], task[j][1]) for i, j in pairs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members = None, []
+
+        def out() -> pa.RecordBatch:
+            got = solve(members)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in got], pa.int64()), pa.array([p[1] for p in got], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for task, *member in zip(*(c.to_pylist() for c in batch.columns)):
+                if task != now:
+                    if len(members) > 1:
+                        yield out()
+                    now, members = task, []
+                members.append(member)
+        if len(members) > 1:
+            yield out()
+
+    dealt = rows.select("task", "side", "cid", "text").repartition("task").sortWithinPartitions("task", "cid")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,11 +235,26 @@ def near_duplicates(docs: DataFrame, percent: int, bands: int, rows: int, id_col
     drawn = common.staged(sketch_documents(source, bands, rows), "sketches")
     usable = drawn.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = common.staged(usable.groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands")), "classes")
-    known = _WordHashes()
-    keys = classes.select(F.explode("bands").alias("key"), F.col("cid").alias("id"), F.col("cid").alias("rank"))
-    bodies = source.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    _, linked = linking.linked(keys, bodies, lambda t: shingles(t, known), lambda x, y: [()] if alike(x, y, percent) else [], members=BLOCK_DOCS)
-    groups = linked.select(F.col("node").alias("cid"), "component")
+    keys = classes.select("cid", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).filter("leader < last")
+    buckets = common.staged(buckets, "buckets")  # a table of its own, so that a hot bucket is split in the join
+    stars = keys.join(buckets.select("key", "leader"), "key").filter("cid <> leader").select("cid", "leader").distinct()
+    cluster_of = common.staged(components(stars, "cid", "leader").select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "clusters")
+    common.discard(classes)
+
+    sizes = cluster_of.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    members = cluster_of.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") * 2 / F.lit(BLOCK_DOCS)).cast("int"))
+    members = members.withColumn("blocks", F.when(F.col("n") <= BLOCK_DOCS, 1).otherwise(F.col("blocks"))).select("cid", "cluster", "blocks")
+    few = cluster_of.count() <= BROADCAST_IDS
+    wanted = F.broadcast(members) if few else members
+    texts = source.join(wanted, source["doc_id"] == wanted["cid"]).select("cid", "cluster", "blocks", "text")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = texts.withColumn("own", own).withColumn("other", other)
+    dealt = dealt.withColumn("task", F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = dealt.withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")))
+    verified = common.staged(_verify(dealt, percent), "links")
+    groups = components(verified, "a", "b").select(F.col("node").alias("cid"), "component")
 
     class_of = drawn.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("cid"))
     named = common.staged(class_of.join(groups, "cid", "left").select("set_key", F.coalesce("component", "cid").alias("component")), "groups")

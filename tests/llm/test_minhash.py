@@ -81,3 +81,12 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (105, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 105: 100}
+
+
+def test_overlaps_of_long_sets(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 500, rng.integers(1, 300)).astype("u8")) for _ in range(40)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[20:]] for x in sets[:20]]
+    assert minhash._overlaps(sets[:20], sets[20:]).tolist() == want
+    monkeypatch.setattr(minhash, "CELLS", 0)
+    assert minhash._overlaps(sets[:20], sets[20:]).tolist() == want
