@@ -47,8 +47,8 @@ def cached_parts(inputs: DataFrame, cache: DataFrame, key: list[str]) -> tuple[D
 
 
 def source_hashes(store: DataFrame) -> DataFrame:
-    """Distinct non-empty hashes of each source."""
-    return store.filter(F.col("source_hash").isNotNull() & (F.col("source_hash") != "")).groupBy("source").agg(F.array_sort(F.collect_set("source_hash")).alias("hashes"))
+    """(source, source_hash): the distinct non-empty hashes of each source, a row each, so a large source is no single row."""
+    return store.filter(F.col("source_hash").isNotNull() & (F.col("source_hash") != "")).select("source", "source_hash").distinct()
 
 
 def trim_log(messages: DataFrame, by: str, seq: str, keep: int = 50) -> DataFrame:

@@ -115,10 +115,15 @@ def src_pdf(spark, sf_dir):
     return pdf.assemble_pages(items, ["path", "page"]).select("page", F.regexp_replace("text", "\n", "|").alias("text"), "heading")
 
 
+def _response():
+    """The query whose response holds a page: 20 pages with numbers in a row each, so a response has 20 hits at most."""
+    return F.floor(F.col("page_id") / 20).alias("query_id")
+
+
 def src_web_serper(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     hit = F.struct(F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("T"), F.col("page_id").cast("string"))).alias("title"), F.when(F.col("page_id") % 2 == 0, F.lit("snip")).alias("snippet"), F.col("url").alias("link"))
-    groups = p.groupBy((F.col("page_id") % 20).alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("page_id", hit.alias("h")))).alias("l"))
+    groups = p.groupBy(_response()).agg(F.array_sort(F.collect_list(F.struct("page_id", hit.alias("h")))).alias("l"))
     bodies = groups.select("query_id", F.to_json(F.struct(F.transform("l", lambda x: x["h"]).alias("organic"))).alias("body"))
     return web.parse_json_results(bodies, 5)
 
@@ -126,8 +131,8 @@ def src_web_serper(spark, sf_dir):
 def src_web_ddg_parse(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     block = F.concat(F.lit('<div><a rel="x" class="result__a" href="https://d.example/l/?uddg='), F.url_encode("url"), F.lit('"> T'), F.col("page_id").cast("string"), F.lit(' </a><p><a class="result__snippet" href="y"> a <b>bold</b> &amp; word </a></div>'))
-    groups = p.groupBy((F.col("page_id") % 20).alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("page_id", block.alias("h")))).alias("l"))
-    bodies = groups.select("query_id", F.when(F.col("query_id") == 7, "<html></html>").otherwise(F.array_join(F.transform("l", lambda x: x["h"]), "\n")).alias("html"))
+    groups = p.groupBy(_response()).agg(F.array_sort(F.collect_list(F.struct("page_id", block.alias("h")))).alias("l"))
+    bodies = groups.select("query_id", F.when(F.col("query_id") % 20 == 7, "<html></html>").otherwise(F.array_join(F.transform("l", lambda x: x["h"]), "\n")).alias("html"))
     return web.parse_html_results(bodies, 3)
 
 
@@ -175,18 +180,20 @@ def udf_embed(spark, sf_dir):
 
 
 def _token_lists(spark, sf_dir):
+    """The inputs of indexing calls: 256 documents of a source with numbers in a row each, so no call grows with the source."""
     d = table(spark, sf_dir, "documents")
-    lists = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", estimated_tokens(F.col("text")).alias("t")))).alias("l"))
-    return lists.select("source", F.transform("l", lambda x: x["doc_id"]).alias("ids"), F.transform("l", lambda x: x["t"]).alias("tokens"))
+    call = F.floor(F.col("doc_id") / 256).alias("call")
+    lists = d.groupBy("source", call).agg(F.array_sort(F.collect_list(F.struct("doc_id", estimated_tokens(F.col("text")).alias("t")))).alias("l"))
+    return lists.select("source", "call", F.transform("l", lambda x: x["t"]).alias("tokens"))
 
 
 def embed_batch(spark, sf_dir):
-    rows = _token_lists(spark, sf_dir).select("source", F.explode(F.arrays_zip("tokens", W.embed_batches(F.col("tokens")).alias("b"))).alias("x"))
-    return rows.groupBy("source", F.col("x.b").alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.tokens").alias("tokens"))
+    rows = _token_lists(spark, sf_dir).select("source", "call", F.explode(F.arrays_zip("tokens", W.embed_batches(F.col("tokens")).alias("b"))).alias("x"))
+    return rows.groupBy("source", "call", F.col("x.b").alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.tokens").alias("tokens"))
 
 
 def embed_reject(spark, sf_dir):
-    return _token_lists(spark, sf_dir).select("source", W.embed_rejects(F.col("tokens")).alias("rejected"))
+    return _token_lists(spark, sf_dir).select("source", "call", W.embed_rejects(F.col("tokens")).alias("rejected"))
 
 
 def stream_index(spark, sf_dir):
@@ -240,7 +247,7 @@ _CELLS = """
 _MONEY = "'$' || regexp_replace(printf('%.2f', abs(c_acctbal)), '([0-9])([0-9]{3}[.])', '\\1,\\2')"
 _ITEMS = "i AS (SELECT l_orderkey AS page, l_linenumber AS seq, l_returnflag || l_linenumber AS str, l_quantity AS x, l_linenumber % 3 * 10.5 AS y, pow(2, l_suppkey % 3) AS height FROM lineitem)"
 _MODE = "m AS (SELECT page, arg_max(height, (n, -reached, -height)) AS modal FROM (SELECT page, height, count(*) AS n, max(seq) AS reached FROM i GROUP BY ALL) GROUP BY 1)"
-_GROUPED = "SELECT page_id % 20 AS query_id, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) - 1 AS rank, page_id, url FROM pages"
+_GROUPED = "SELECT page_id // 20 AS query_id, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) - 1 AS rank, page_id, url FROM pages"
 
 ORACLES = {
     "src_detect_kind": f"""
@@ -269,22 +276,23 @@ ORACLES = {
         FROM l LEFT JOIN (SELECT page, first(str ORDER BY line DESC, x, seq, mark || str) AS h FROM k WHERE mark <> '' GROUP BY 1) USING (page) GROUP BY 1""",
     "src_web_serper": f"SELECT query_id, rank, CASE WHEN page_id % 3 <> 0 THEN 'T' || page_id ELSE 'Untitled' END AS title, CASE WHEN page_id % 2 = 0 THEN 'snip' ELSE '' END AS content, url FROM ({_GROUPED}) WHERE rank < 5",
     "src_web_ddg_parse": f"""
-        SELECT query_id, rank, 'T' || page_id AS title, 'a bold & word' AS content, url FROM ({_GROUPED}) WHERE rank < 3 AND query_id <> 7
-        UNION ALL SELECT 7, 0, '{web.NO_TITLE}', '{web.NO_CONTENT}', '{web.NO_URL}'""",
+        SELECT query_id, rank, 'T' || page_id AS title, 'a bold & word' AS content, url FROM ({_GROUPED}) WHERE rank < 3 AND query_id % 20 <> 7
+        UNION ALL SELECT DISTINCT page_id // 20, 0, '{web.NO_TITLE}', '{web.NO_CONTENT}', '{web.NO_URL}' FROM pages WHERE page_id // 20 % 20 = 7""",
     "web_fallback": "SELECT * FROM (VALUES ('none', 0), ('serper', 2), ('ddg', 2)) t(provider, n)",
     "src_model_catalog": "SELECT * FROM (VALUES (0, 'a/b-8b', 'x', 5), (1, 'c', '', 0), (2, '', 'z', 0)) t(seq, id, owned_by, created)",
     "snk_legacy_migrate": "SELECT vec_id, 't' || vec_id AS text, len(embedding) AS dim, round(embedding[64]::DOUBLE, 4) AS last FROM embeddings WHERE vec_id % 5 <> 4",
     "sse_concat": "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1",
-    "embed_reject": "SELECT source, max(ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)) > 8192 AS rejected FROM documents GROUP BY 1",
+    "embed_reject": "SELECT source, doc_id // 256 AS call, max(ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)) > 8192 AS rejected FROM documents GROUP BY ALL",
     "embed_batch": """
         WITH RECURSIVE t AS (
-            SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::BIGINT AS k FROM documents),
+            SELECT source, doc_id // 256 AS call, row_number() OVER (PARTITION BY source, doc_id // 256 ORDER BY doc_id) AS i,
+                ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::BIGINT AS k FROM documents),
         r AS (
-            SELECT source, i, 0 AS b, 1 AS n, k AS s, k FROM t WHERE i = 1
+            SELECT source, call, i, 0 AS b, 1 AS n, k AS s, k FROM t WHERE i = 1
             UNION ALL
-            SELECT source, t.i, CASE WHEN n >= 64 OR s + t.k > 8192 THEN b + 1 ELSE b END, CASE WHEN n >= 64 OR s + t.k > 8192 THEN 1 ELSE n + 1 END, CASE WHEN n >= 64 OR s + t.k > 8192 THEN t.k ELSE s + t.k END, t.k
-            FROM r JOIN t USING (source) WHERE t.i = r.i + 1)
-        SELECT source, b AS batch, count(*) AS n, sum(k) AS tokens FROM r GROUP BY ALL""",
+            SELECT source, call, t.i, CASE WHEN n >= 64 OR s + t.k > 8192 THEN b + 1 ELSE b END, CASE WHEN n >= 64 OR s + t.k > 8192 THEN 1 ELSE n + 1 END, CASE WHEN n >= 64 OR s + t.k > 8192 THEN t.k ELSE s + t.k END, t.k
+            FROM r JOIN t USING (source, call) WHERE t.i = r.i + 1)
+        SELECT source, call, b AS batch, count(*) AS n, sum(k) AS tokens FROM r GROUP BY ALL""",
     "stream_index": """
         WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new words only' ELSE text END AS text FROM documents),
         t AS (SELECT doc_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 1)) AS w FROM d)

@@ -80,10 +80,10 @@ def settings_validate(spark, sf_dir):
 
 
 def _results(spark, sf_dir):
-    """Labelled documents as answered questions; scores come from events of the same number."""
+    """Labelled documents as answered questions; the scores of one come from its own ten events."""
     lab = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    scores = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 400).alias("slot")).agg(F.collect_list(F.col("value") / 100).alias("scores"))
-    rows = lab.withColumn("slot", F.col("doc_id") % 400).join(scores, "slot", "left")
+    scores = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 10).alias("slot")).agg(F.collect_list(F.col("value") / 100).alias("scores"))
+    rows = lab.join(scores, lab["doc_id"] == scores["slot"], "left")
     source = lambda n: F.when(n % 3 == 0, "vectorstore").when(n % 3 == 1, "python").otherwise("websearch")
     return rows.select(
         F.col("doc_id").cast("string").alias("question_id"),
@@ -91,7 +91,7 @@ def _results(spark, sf_dir):
         source(F.col("doc_id")).alias("expected_source"),
         F.when(F.col("doc_id") % 11 == 0, None).otherwise(source(F.col("doc_id") + F.col("toxic"))).alias("actual_source"),
         F.coalesce("scores", F.array().cast("array<double>")).alias("scores"),
-        (F.col("doc_id") % 40).cast("int").alias("min_relevant_chunks"),
+        (F.col("doc_id") % 14).cast("int").alias("min_relevant_chunks"),
         F.when(F.col("doc_id") % 17 == 0, "failed").alias("error"),
         F.col("n_chars").alias("latency_ms"),
     )
@@ -276,9 +276,9 @@ _FLAGS = f"{_HIT(P.EMBEDDING_CLASS)}::INT AS is_embedding, {_HIT(P.CODE_CLASS)}:
 _SIZE = "CASE " + " ".join(f"WHEN {_HIT(p)} THEN '{n}'" for n, p in P.SIZES) + " ELSE 'medium' END"
 _SRC = "CASE WHEN ({0}) % 3 = 0 THEN 'vectorstore' WHEN ({0}) % 3 = 1 THEN 'python' ELSE 'websearch' END"
 _EVAL = f"""
-    WITH s AS (SELECT event_id % 400 AS slot, count(*) FILTER (value / 100 > 0.3::DOUBLE) AS n FROM events GROUP BY 1),
-    q AS (SELECT doc_id, lang, n_chars, coalesce(n, 0) AS rel, {_SRC.format('doc_id')} AS e, CASE WHEN doc_id % 11 <> 0 THEN {_SRC.format('doc_id + toxic')} END AS a, doc_id % 40 AS wanted
-          FROM labels JOIN documents USING (doc_id) LEFT JOIN s ON slot = doc_id % 400),
+    WITH s AS (SELECT event_id // 10 AS slot, count(*) FILTER (value / 100 > 0.3::DOUBLE) AS n FROM events GROUP BY 1),
+    q AS (SELECT doc_id, lang, n_chars, coalesce(n, 0) AS rel, {_SRC.format('doc_id')} AS e, CASE WHEN doc_id % 11 <> 0 THEN {_SRC.format('doc_id + toxic')} END AS a, doc_id % 14 AS wanted
+          FROM labels JOIN documents USING (doc_id) LEFT JOIN s ON slot = doc_id),
     r AS (SELECT *, coalesce(a = e, false) AS ok, CASE WHEN wanted = 0 THEN 1 ELSE least(1, rel / wanted::DOUBLE) END AS rec FROM q),
     g AS (SELECT *, doc_id % 17 <> 0 AND ok AND rec >= 0.5 AS pass FROM r)"""
 _SUM = "count(*) AS total, count(*) FILTER (pass) AS passed, count(*) FILTER (NOT pass) AS failed, round(avg(ok::INT), 6) AS routing_accuracy, round(avg(rec), 6) AS avg_recall, round(avg(n_chars), 3) AS avg_latency_ms"

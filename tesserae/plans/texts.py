@@ -130,7 +130,7 @@ def _hashed(spark, sf_dir):
 
 
 def source_hash_set(spark, sf_dir):
-    return S.source_hashes(_hashed(spark, sf_dir)).select("source", F.size("hashes").alias("n"), F.element_at("hashes", 1).alias("first"))
+    return S.source_hashes(_hashed(spark, sf_dir)).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("source_hash").alias("first"))
 
 
 def semi_hash_exists(spark, sf_dir):
