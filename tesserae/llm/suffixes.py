@@ -16,6 +16,10 @@ suffixes would move the corpus many times over; a sparse suffix array is enough:
 5. For each length of left context, windows are equal if their right parts lie within one stretch of
    sufficient common prefixes and their left parts hash alike (64 bits). All windows of an anchor
    overlap, so each anchor yields one interval.
+6. Parts of far more contexts than others (one seed may begin a third of all texts) are cut into ranges of
+   sorted contexts at sampled splitters. A stretch of common prefixes can then go on in the next range;
+   of such stretches the ranges exchange one 64-bit tag (left part and common prefix) for each different
+   window, so that no seed has to sit in one task.
 
 A context that many documents share travels once from each task and not once from each document.
 
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +47,10 @@ from tesserae.llm.minhash import mix
 WIDTH, SEED = 200, 32
 _REACH = WIDTH - SEED + 1  # seeds in a window
 SEGMENT = 1 << 20
-#: Contexts that one merging task handles.
+#: Contexts that one merging task handles; a part of more than twice as many is cut into ranges.
 MERGED = 100_000
+#: Contexts drawn for each range that a part is cut into.
+DRAWN = 8
 #: Up to so many bytes of places or spans are broadcast to the scan of texts; beyond, they are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 _U = np.uint64
@@ -211,12 +218,31 @@ _SENT_TYPES = (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 10)
 _SENT_NAMES = [p.split()[0] for p in _SENT.split(", ")]
 
 
+def _send(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _SENT_TYPES)], _SENT_NAMES)
+
+
+def _coded(part: int, task: int, contexts: list[tuple]) -> tuple:
+    """A front-coded run of sorted contexts (right, left, least left, number in the task, whether it is there twice)."""
+    shared, rests = front_code([c[0] for c in contexts])
+    lengths = np.array([len(c[0]) for c in contexts], "u2").tobytes()
+    lefts, before, least = b"".join(c[1] for c in contexts), bytes(len(c[1]) for c in contexts), bytes(c[2] for c in contexts)
+    ids, often = np.array([c[3] for c in contexts], "u4").tobytes(), bytes(c[4] for c in contexts)
+    return 0, part, task, shared.tobytes(), lengths, rests, lefts, before, least, often, ids, None, None
+
+
+def _lefts(row: dict) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(row["before"], "u1"), dtype=int).tolist()
+    return [row["lefts"][a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _rights(row: dict) -> list[bytes]:
+    return front_decode(np.frombuffer(row["shared"], "u2"), np.frombuffer(row["lengths"], "u2"), row["rests"])
+
+
 def _runs(wanted: DataFrame, parts: int) -> DataFrame:
     """Front-coded runs (kind 0), and for each text its anchors' contexts by number within the task (kind 1)."""
 
-    def send(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _SENT_TYPES)], _SENT_NAMES)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -238,34 +264,21 @@ def _runs(wanted: DataFrame, parts: int) -> DataFrame:
                     ids.append(n)
                 out.append((1, None, task, *[None] * 7, np.array(ids, "u4").tobytes(), key, np.array(places, "i8").tobytes()))
             if out:
-                yield send(out)
+                yield _send(out)
         by_part: dict[int, list] = {}
         for (right, left, least), n in number.items():
-            by_part.setdefault(xxhash.xxh32_intdigest(right[:SEED]) % parts, []).append((right, left, least, n))
+            by_part.setdefault(xxhash.xxh32_intdigest(right[:SEED]) % parts, []).append((right, left, least, n, often[n]))
         number.clear()
         for part in sorted(by_part):
-            rows = sorted(by_part.pop(part))
-            shared, rests = front_code([r[0] for r in rows])
-            ids = np.array([r[3] for r in rows], "u4")
-            yield send([(
-                0, part, task, shared.tobytes(), np.array([len(r[0]) for r in rows], "u2").tobytes(), rests, b"".join(r[1] for r in rows),
-                bytes(len(r[1]) for r in rows), bytes(r[2] for r in rows), bytes(often[i] for i in ids.tolist()), ids.tobytes(), None, None,
-            )])
+            yield _send([_coded(part, task, sorted(by_part.pop(part)))])
 
     return wanted.select("key", "body", "places").mapInArrow(run, _SENT)
 
 
-def repeated_lefts(shared: np.ndarray, lefts: list[bytes], least: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fewest, most) left bytes with which each context, in sorted order of right parts, has a repeated window; most is -1 if none.
-
-    shared: common prefix with the one before. least: fewest left bytes of the context's own windows, its
-    whole left part being the most. often: the context itself occurs twice.
-    """
+def _by_left(shared: np.ndarray, lefts: list[bytes], least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each number of left bytes: it, the contexts with such a window, and of all contexts the stretch of common prefixes and the hash of the left bytes."""
     n = len(lefts)
-    most = np.array([len(s) for s in lefts])
-    low, high = np.full(n, WIDTH), np.full(n, -1)
-    twice = often.astype(bool)
-    low[twice], high[twice] = least[twice], most[twice]
+    most = np.array([len(s) for s in lefts], int)
     deep = int(most.max()) if n else -1
     before = np.zeros((n, deep + 1), "u1")
     for i, s in enumerate(lefts):
@@ -275,9 +288,23 @@ def repeated_lefts(shared: np.ndarray, lefts: list[bytes], least: np.ndarray, of
         if left:
             h = mix(h * _U(0x9E3779B97F4A7C15) + _BYTES[before[:, left - 1]])
         live = np.flatnonzero((least <= left) & (left <= most))
+        if len(live):
+            yield left, live, np.cumsum(shared < WIDTH - left).astype(_U), h
+
+
+def repeated_lefts(shared: np.ndarray, lefts: list[bytes], least: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fewest, most) left bytes with which each context, in sorted order of right parts, has a repeated window; most is -1 if none.
+
+    shared: common prefix with the one before. least: fewest left bytes of the context's own windows, its
+    whole left part being the most. often: the context itself occurs twice.
+    """
+    n = len(lefts)
+    low, high = np.full(n, WIDTH), np.full(n, -1)
+    twice = often.astype(bool)
+    low[twice], high[twice] = least[twice], np.array([len(s) for s in lefts], int)[twice]
+    for left, live, stretch, h in _by_left(shared, lefts, least):
         if len(live) < 2:
             continue
-        stretch = np.cumsum(shared < WIDTH - left).astype(_U)
         tag = mix(h[live] ^ mix(stretch[live]))
         order = np.argsort(tag, kind="stable")
         same = tag[order][1:] == tag[order][:-1]
@@ -287,31 +314,112 @@ def repeated_lefts(shared: np.ndarray, lefts: list[bytes], least: np.ndarray, of
     return low, high
 
 
-def _solve(runs: DataFrame, parts: int) -> DataFrame:
-    """For each task its contexts that repeat: ids, and the fewest and most left bytes (kind 0 of the same shape)."""
+def open_windows(
+    shared: np.ndarray, rights: list[bytes], lefts: list[bytes], least: np.ndarray, first: int, last: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(left bytes, tags, contexts) of the windows that may also be in another range, each different one once.
+
+    first, last: common prefix of the first context with the splitter before it, and of the last with the
+    one behind it (0: none). The context is -1 where several of this range have the window.
+    """
+    for left, live, stretch, h in _by_left(shared, lefts, least):
+        need = WIDTH - left
+        ends = [s for s, n in ((stretch[0], first), (stretch[-1], last)) if n >= need]
+        at = live[np.isin(stretch[live], ends)]
+        if not len(at):
+            continue
+        prefix = np.zeros(len(at), _U)
+        for s in ends:
+            inside = stretch[at] == s
+            if inside.any():
+                prefix[inside] = xxhash.xxh64_intdigest(rights[at[inside][0]][:need], left)
+        tags, where, times = np.unique(mix(h[at] ^ mix(prefix)), return_index=True, return_counts=True)
+        yield left, tags, np.where(times == 1, at[where], -1)
+
+
+def _splitters(runs: DataFrame) -> dict[int, list[tuple[bytes, bytes]]]:
+    """For each part of more than twice MERGED contexts, the contexts (right, left) at which it is cut into ranges of about MERGED.
+
+    What the driver gets is DRAWN contexts for each MERGED of such parts.
+    """
+    sizes = runs.groupBy("part").agg(F.sum(F.octet_length("least")).alias("n")).filter(F.col("n") > 2 * MERGED).collect()
+    if not sizes:
+        return {}
+    step = max(1, MERGED // DRAWN)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                some = slice(xxhash.xxh32_intdigest(f"{r['part']} {r['task']}") % step, None, step)
+                rights, lefts = _rights(r)[some], _lefts(r)[some]
+                part = pa.array([r["part"]] * len(rights), pa.int32())
+                yield pa.RecordBatch.from_arrays([part, pa.array(rights, pa.binary()), pa.array(lefts, pa.binary())], ["part", "right", "left"])
+
+    drawn: dict[int, list] = {}
+    for r in runs.filter(F.col("part").isin([r["part"] for r in sizes])).mapInArrow(draw, "part int, right binary, left binary").collect():
+        drawn.setdefault(r["part"], []).append((bytes(r["right"]), bytes(r["left"])))
+    cuts = {}
+    for r in sizes:
+        found, ranges = sorted(drawn.get(r["part"], [])), -(-r["n"] // MERGED)
+        at = sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
+        if at:
+            cuts[r["part"]] = at
+    return cuts
+
+
+def _ranges(runs: DataFrame, cuts: dict[int, list], first: dict[int, int]) -> DataFrame:
+    """The runs, those of the cut parts divided at the splitters; first: the number of each cut part's first range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                contexts = list(zip(_rights(r), _lefts(r), r["least"], np.frombuffer(r["ids"], "u4").tolist(), r["often"]))
+                ends = [bisect_left(contexts, cut) for cut in cuts[r["part"]]]
+                for i, (a, b) in enumerate(zip([0, *ends], [*ends, len(contexts)])):
+                    if a < b:
+                        yield _send([_coded(first[r["part"]] + i, r["task"], contexts[a:b])])
+
+    cut = F.col("part").isin(list(cuts))
+    return runs.filter(~cut).unionByName(runs.filter(cut).mapInArrow(run, _SENT))
+
+
+def _answer(task: int, low: np.ndarray, high: np.ndarray, ids: np.ndarray) -> tuple:
+    return 0, None, task, low.astype("u1").tobytes(), high.astype("u1").tobytes(), *[None] * 5, ids.astype("u4").tobytes(), None, None
+
+
+def _solve(runs: DataFrame, parts: int, edges: dict[int, tuple]) -> DataFrame:
+    """For each task its contexts that repeat: ids, and the fewest and most left bytes (kind 0 of the same shape).
+
+    edges: the splitters before and behind each range. Of these also the open windows (kind 2): left bytes
+    as part, tags as ids, the contexts' tasks and numbers (-1: none) as lefts and places.
+    """
 
     def solve(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        lists, lefts = [], []
-        for r in rows:
-            shared = np.frombuffer(r["shared"], "u2")
-            lists.append((shared.tolist(), front_decode(shared, np.frombuffer(r["lengths"], "u2"), r["rests"])))
-            ends = np.cumsum(np.frombuffer(r["before"], "u1"), dtype=int).tolist()
-            lefts.append([r["lefts"][a:b] for a, b in zip([0, *ends], ends)])
+        lists = [(np.frombuffer(r["shared"], "u2").tolist(), _rights(r)) for r in rows]
+        lefts = [_lefts(r) for r in rows]
         total = sum(len(x) for x in lefts)
         of, place, shared = np.empty(total, int), np.empty(total, int), np.empty(total, int)
         for i, (a, b, c) in enumerate(merge_runs(lists)):
             of[i], place[i], shared[i] = a, b, c
+        before, behind = edges.get(rows[0]["part"], (None, None))
+        rights = [lists[a][1][b] for a, b in zip(of.tolist(), place.tolist())] if before or behind else []
         del lists
         firsts = np.cumsum([0] + [len(x) for x in lefts])[:-1]
         flat = firsts[of] + place
         pick = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])[flat]
-        low, high = repeated_lefts(shared, [lefts[a][b] for a, b in zip(of.tolist(), place.tolist())], pick("least", "u1").astype(int), pick("often", "u1"))
-        ids = pick("ids", "u4")
+        ordered, least, ids = [lefts[a][b] for a, b in zip(of.tolist(), place.tolist())], pick("least", "u1").astype(int), pick("ids", "u4")
+        low, high = repeated_lefts(shared, ordered, least, pick("often", "u1"))
         for k, r in enumerate(rows):
             hit = (of == k) & (high >= 0)
             if hit.any():
-                row = (0, None, r["task"], low[hit].astype("u1").tobytes(), high[hit].astype("u1").tobytes(), *[None] * 5, ids[hit].tobytes(), None, None)
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _SENT_TYPES)], _SENT_NAMES)
+                yield _send([_answer(r["task"], low[hit], high[hit], ids[hit])])
+        if rights:
+            tasks = np.array([r["task"] for r in rows])
+            first = common_prefix(before[0], rights[0], 0) if before else 0
+            last = common_prefix(behind[0], rights[-1], 0) if behind else 0
+            for left, tags, who in open_windows(shared, rights, ordered, least, first, last):
+                task, number = np.where(who < 0, -1, tasks[of[who]]), np.where(who < 0, -1, ids[who].astype(int))
+                yield _send([(2, left, None, *[None] * 3, task.astype("i4").tobytes(), *[None] * 3, tags.tobytes(), None, number.astype("i8").tobytes())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -328,6 +436,27 @@ def _solve(runs: DataFrame, parts: int) -> DataFrame:
     return runs.repartition(parts, "part").sortWithinPartitions("part", "task").mapInArrow(run, _SENT)
 
 
+def _settle(opened: DataFrame) -> DataFrame:
+    """Answers for contexts with a window that another range has too. Of a tag there is one row from each range."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.select(["part", "lefts", "ids", "places"]).to_pylist():
+                tag, task, number = np.frombuffer(r["ids"], "i8"), np.frombuffer(r["lefts"], "i4"), np.frombuffer(r["places"], "i8")
+                yield pa.RecordBatch.from_arrays([pa.array(tag), pa.array(task), pa.array(number), pa.array(np.full(len(tag), r["part"], "i4"))], ["tag", "task", "number", "left"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            task, number, low, high = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for t in np.unique(task).tolist():
+                yield _send([_answer(t, low[task == t], high[task == t], number[task == t])])
+
+    rows = opened.mapInArrow(unpack, "tag long, task int, number long, left int")
+    met = rows.groupBy("tag").agg(F.collect_list(F.struct("task", "number", "left")).alias("who")).filter(F.size("who") > 1)
+    met = met.select(F.explode("who").alias("w")).select("w.task", "w.number", "w.left").filter("number >= 0")
+    return met.groupBy("task", "number").agg(F.min("left").alias("low"), F.max("left").alias("high")).mapInArrow(pack, _SENT)
+
+
 def _spans(both: DataFrame) -> DataFrame:
     """key, spans (begin and end, as 64-bit pairs) of every text that loses something. Answers of a task come before its texts."""
 
@@ -342,8 +471,9 @@ def _spans(both: DataFrame) -> DataFrame:
                 if r["kind"] == 0:
                     grow = int(ids.max()) + 1 - len(high)
                     if grow > 0:
-                        low, high = np.append(low, np.zeros(grow, int)), np.append(high, np.full(grow, -1))
-                    low[ids], high[ids] = np.frombuffer(r["shared"], "u1"), np.frombuffer(r["lengths"], "u1")
+                        low, high = np.append(low, np.full(grow, WIDTH)), np.append(high, np.full(grow, -1))
+                    low[ids] = np.minimum(low[ids], np.frombuffer(r["shared"], "u1"))
+                    high[ids] = np.maximum(high[ids], np.frombuffer(r["lengths"], "u1"))
                     continue
                 ok = ids < len(high)
                 ids, at = ids[ok], np.frombuffer(r["places"], "i8")[ok] >> 16
@@ -379,10 +509,22 @@ def repeated_spans(source: DataFrame) -> tuple[DataFrame, int]:
     n = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-n // MERGED))
     sent = common.staged(_runs(_joined(source, places, 8 * n, "inner"), parts), "runs")
-    answers = _solve(sent.filter("kind = 0"), parts)
+    runs, edges, opened = sent.filter("kind = 0"), {}, None
+    cuts = _splitters(runs)
+    if cuts:
+        first = {}
+        for part, at in cuts.items():
+            first[part], parts = parts, parts + len(at) + 1
+            edges.update((first[part] + i, e) for i, e in enumerate(zip([None, *at], [*at, None])))
+        opened = common.staged(_solve(_ranges(runs, cuts, first), parts, edges), "opened")
+        answers = opened.filter("kind = 0").unionByName(_settle(opened.filter("kind = 2")))
+    else:
+        answers = _solve(runs, parts, edges)
     spans = common.staged(_spans(answers.unionByName(sent.filter("kind = 1"))), "spans")
     common.discard(places)
     common.discard(sent)
+    if opened is not None:
+        common.discard(opened)
     size = spans.agg(F.coalesce(F.sum(F.octet_length("spans") + 32), F.lit(0)).alias("n")).first()["n"]
     return spans, size
 

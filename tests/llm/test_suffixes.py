@@ -95,3 +95,24 @@ def test_removal_keeps_columns(spark):
     got = {r.doc_id: r for r in sx.remove_repeats(d, count_col="n_chars").collect()}
     assert set(got) == {1, 2, 4, 5} and got[1].text.endswith(own[0][50:]) and got[1].n_chars == len(got[1].text) and got[5].text == "é"
     assert sx.op5_suffix_array(spark, "", d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("merged", [8, 20, 100_000])
+def test_hot_seed_in_ranges(spark, monkeypatch, merged):
+    """Two headers below, around and above WIDTH in most texts: their seeds' contexts are cut into ranges, and nothing changes."""
+    monkeypatch.setattr(sx, "MERGED", merged)
+    cut = []
+    found = sx._splitters
+    monkeypatch.setattr(sx, "_splitters", lambda runs: cut.append(found(runs)) or cut[-1])
+    rng = random.Random(4)
+    fresh = lambda n: "".join(rng.choice("abc \n") for _ in range(n))
+    short, long = fresh(120), fresh(260)
+    tails, heads = [fresh(n) for n in (60, 79, 80, 90, 170)], [fresh(n) for n in (60, 79, 80, 90, 170)]
+    texts = []
+    for i in range(160):
+        texts.append(rng.choice([fresh(90), fresh(30) + rng.choice(heads)]) + (short if i % 3 else long) + rng.choice([fresh(200), rng.choice(tails) + fresh(50)]))
+    texts += [short + fresh(300), long, long, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sx.op5_suffix_array(spark, "", d).collect())
+    assert got == sorted(brute([(t or "").encode() for t in texts]))
+    assert bool(cut[0]) == (merged < 100_000)
