@@ -43,7 +43,8 @@ def plan_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"), F.sha2(body, 256).alias("digest"))
     same = rows.filter(F.octet_length("payload") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    return rows.join(same.filter("n > 1").drop("n"), "digest", "left")
+    same = common.staged(same.filter("n > 1").drop("n"), "digests")  # a table of its own, so that both sides of the join are dealt anew and a hot digest is split
+    return rows.join(same, "digest", "left")
 
 
 def _record(kind: str, record_id: str, uri: str, mime: str, block: bytes, extra: str = "") -> bytes:
