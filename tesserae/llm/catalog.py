@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tesserae.llm import chaining, decontaminate, langid, media, minhash, packing, quality, suffixes, toxicity, warc
+from tesserae.llm import chaining, chat, clustering, decontaminate, langid, media, minhash, packing, quality, repair, suffixes, toxicity, warc
 
-MODULES = (quality, media, packing, warc, suffixes, minhash, chaining, langid, toxicity, decontaminate)
+MODULES = (quality, media, packing, warc, suffixes, minhash, chaining, langid, toxicity, decontaminate, clustering, chat, repair)
 
 
 def queries() -> dict:

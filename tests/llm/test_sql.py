@@ -11,7 +11,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     want = con.sql(catalog.oracle_sql()[name])
     got = catalog.queries()[name](spark, DIR)
