@@ -5,17 +5,19 @@ structure and length, so that a chance match of a magic does not count. What sta
 the declared type; whatever is confirmed further inside is carved out with its place and length.
 
 Edge cases: a null or empty text is stored as one block of spaces; null bytes sniff as null with
-nothing carved; texts of any length are stored whole and sniffed in one pass; damaged or cut-off media
-are not confirmed; repeated rows give equal rows; an empty table gives none; other columns are ignored.
+nothing carved; texts of any length are stored whole and sniffed in near-linear time, as every place is
+walked from once (only packed gzip data that overlaps is unpacked from each of its beginnings); damaged
+or cut-off media are not confirmed; repeated rows give equal rows; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -43,7 +45,97 @@ SIGNATURES = (
 )
 
 
-def _riff(b: bytes, at: int) -> tuple[str, int] | None:
+class Finder(bytes):
+    """Bytes with what validators have learned about them. Where a walk goes from a place depends on the place alone, so each is walked from once."""
+
+    def __new__(cls, b: bytes):
+        own = super().__new__(cls, b)
+        own.places, own.walks, own.sums = {}, {}, []
+        return own
+
+    def after(self, pattern: bytes, at: int) -> int:
+        """The first place from `at` on where the pattern stands, or -1. All its places are looked up once."""
+        if pattern not in self.places:
+            found, p = [], self.find(pattern)
+            while p >= 0:
+                found.append(p)
+                p = self.find(pattern, p + 1)
+            self.places[pattern] = found
+        found = self.places[pattern]
+        k = bisect.bisect_left(found, at)
+        return found[k] if k < len(found) else -1
+
+    def settled(self, kind: str, start, step: Callable, fold: Callable = lambda value, rest: rest):
+        """The outcome of the walk from `start`. step(place) is (next place, value), or (None, outcome) where the walk ends; fold carries values back."""
+        known, way, place = self.walks.setdefault(kind, {}), [], start
+        while place not in known:
+            onward, value = step(place)
+            if onward is None:
+                known[place] = value
+                break
+            way.append((place, value))
+            place = onward
+        out = known[place]
+        for place, value in reversed(way):
+            known[place] = out = fold(value, out)
+        return out
+
+    def crc(self, start: int, end: int) -> int:
+        """crc32 of a range, from sums up to every 4096th byte."""
+        if end - start <= _CRC_STEP:
+            return zlib.crc32(memoryview(self)[start:end])
+        if not self.sums:
+            self.sums.append(0)
+            for lo in range(0, len(self), _CRC_STEP):
+                self.sums.append(zlib.crc32(memoryview(self)[lo : lo + _CRC_STEP], self.sums[-1]))
+
+        def upto(p: int) -> int:
+            k = p // _CRC_STEP
+            return zlib.crc32(memoryview(self)[k * _CRC_STEP : p], self.sums[k])
+
+        return upto(end) ^ _shifted(upto(start), end - start)
+
+
+_CRC_STEP = 4096
+
+
+@functools.cache
+def _shift_tables(power: int) -> list[list[int]]:
+    """What appending 2**power zero bytes does to a crc, by each of its four bytes."""
+    if power == 0:
+        images = []
+        for bit in range(32):
+            c = 1 << bit
+            for _ in range(8):
+                c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+            images.append(c)
+    else:
+        half = _shift_tables(power - 1)
+        images = [_apply(half, _apply(half, 1 << bit)) for bit in range(32)]
+    tables = []
+    for byte in range(4):
+        t = [0] * 256
+        for v in range(1, 256):
+            low = v & -v
+            t[v] = t[v ^ low] ^ images[8 * byte + low.bit_length() - 1]
+        tables.append(t)
+    return tables
+
+
+def _apply(t: list[list[int]], c: int) -> int:
+    return t[0][c & 255] ^ t[1][c >> 8 & 255] ^ t[2][c >> 16 & 255] ^ t[3][c >> 24]
+
+
+def _shifted(c: int, n: int) -> int:
+    power = 0
+    while n:
+        if n & 1:
+            c = _apply(_shift_tables(power), c)
+        n, power = n >> 1, power + 1
+    return c
+
+
+def _riff(b: Finder, at: int) -> tuple[str, int] | None:
     if len(b) < at + 12:
         return None
     n = struct.unpack_from("<I", b, at + 4)[0] + 8
@@ -51,73 +143,77 @@ def _riff(b: bytes, at: int) -> tuple[str, int] | None:
     kind = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}.get(form)
     if kind is None or at + n > len(b):
         return None
-    p = at + 12
-    while p + 8 <= at + n:  # chunks have to fill the form exactly
-        size = struct.unpack_from("<I", b, p + 4)[0]
-        p += 8 + size + size % 2
-    return (kind, n) if p in (at + n, at + n + 1) else None
+    return (kind, n) if _chunk_beyond(b, at + 12, at + n - 8) in (at + n, at + n + 1) else None  # chunks have to fill the form exactly
+
 
+def _chunk_beyond(b: Finder, at: int, limit: int) -> int:
+    """Where the walk over chunks from `at` first stands beyond `limit`. Chunks know their successor and one far ahead, so this takes logarithmic time."""
 
-def _png(b: bytes, at: int) -> tuple[str, int] | None:
-    p = at + 8
-    while p + 12 <= len(b):
+    def step(p: int):
+        if p + 8 > len(b):
+            return None, (0, p, p)
+        size = struct.unpack_from("<I", b, p + 4)[0]
+        return p + 8 + size + size % 2, p
+
+    def fold(p: int, onward: tuple[int, int, int]) -> tuple[int, int, int]:
+        size = struct.unpack_from("<I", b, p + 4)[0]
+        q = p + 8 + size + size % 2
+        depth, _, far = onward
+        farther = known[far]
+        return depth + 1, q, (farther[2] if depth - farther[0] == farther[0] - known[farther[2]][0] else q)
+
+    known = b.walks.setdefault("riff", {})
+    b.settled("riff", at, step, fold)
+    while at <= limit:
+        _, onward, far = known[at]
+        at = far if far <= limit else onward
+    return at
+
+
+def _png(b: Finder, at: int) -> tuple[str, int] | None:
+    def step(p: int):
+        if p + 12 > len(b):
+            return None, -1
         n, kind = struct.unpack_from(">I", b, p)[0], b[p + 4 : p + 8]
-        if p + 12 + n > len(b) or zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
-            return None
-        p += 12 + n
-        if kind == b"IEND":
-            return "image/png", p - at
-    return None
+        if p + 12 + n > len(b) or b.crc(p + 4, p + 8 + n) != struct.unpack_from(">I", b, p + 8 + n)[0]:
+            return None, -1
+        return (None, p + 12 + n) if kind == b"IEND" else (p + 12 + n, None)
 
+    end = b.settled("png", at + 8, step)
+    return ("image/png", end - at) if end >= 0 else None
 
-def _gif(b: bytes, at: int) -> tuple[str, int] | None:
-    def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        return p + 1
 
-    if len(b) < at + 14:
-        return None
-    flags = b[at + 10]
-    p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-    while p < len(b):
+def _gif(b: Finder, at: int) -> tuple[str, int] | None:
+    def step(place: tuple[int, bool]):
+        p, inside = place
+        if p >= len(b):
+            return None, -1
+        if inside:  # a run of data blocks ends with an empty one
+            return ((p + b[p] + 1, True) if b[p] else (p + 1, False)), None
         if b[p] == 0x3B:
-            return "image/gif", p + 1 - at
+            return None, p + 1
         if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 < len(b):
-            p = blocks(p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0))
-        else:
-            return None
-    return None
-
+            return (p + 2, True), None
+        if b[p] == 0x2C and p + 10 < len(b):
+            return (p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0), True), None
+        return None, -1
 
-class Finder(bytes):
-    """Bytes that remember where a pattern was found last, so that asking from ever later places reads them once."""
-
-    def __new__(cls, b: bytes):
-        own = super().__new__(cls, b)
-        own.known = {}
-        return own
-
-    def after(self, pattern: bytes, at: int) -> int:
-        """The first place from `at` on where the pattern stands, or -1."""
-        since, found = self.known.get(pattern, (len(self) + 1, -1))
-        if at < since or 0 <= found < at:
-            found = self.find(pattern, at)
-        self.known[pattern] = (at, found)
-        return found
+    if len(b) < at + 14:
+        return None
+    flags = b[at + 10]
+    end = b.settled("gif", (at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), False), step)
+    return ("image/gif", end - at) if end >= 0 else None
 
 
 def _jpeg(b: Finder, at: int) -> tuple[str, int] | None:
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
-        kind = b[p + 1]
-        p += 2 + struct.unpack_from(">H", b, p + 2)[0]
-        if kind == 0xDA:
-            end = b.after(b"\xff\xd9", p)
-            return ("image/jpeg", end + 2 - at) if end >= 0 else None
-    return None
+    def step(p: int):
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return None, -1
+        onward = p + 2 + struct.unpack_from(">H", b, p + 2)[0]
+        return (None, b.after(b"\xff\xd9", onward)) if b[p + 1] == 0xDA else (onward, None)
+
+    end = b.settled("jpeg", at + 2, step)
+    return ("image/jpeg", end + 2 - at) if end >= 0 else None
 
 
 def _pdf(b: Finder, at: int) -> tuple[str, int] | None:
@@ -133,47 +229,74 @@ def _zip(b: Finder, at: int) -> tuple[str, int] | None:
     return ("application/zip", end + 22 + note - at) if at + offset + size == end and end + 22 + note <= len(b) else None
 
 
-def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
-    d = zlib.decompressobj(31)
-    data = memoryview(b)[at:]
+def _gzip(b: Finder, at: int) -> tuple[str, int] | None:
+    """The header is read here, so that a name without end costs one look-up; the packed data is unpacked once for each place where it begins."""
+    flags = b[at + 3] if len(b) >= at + 10 else 0xFF
+    if flags & 0xE0:
+        return None
+    p = at + 10
+    if flags & 4:
+        p += 2 + struct.unpack_from("<H", b, p)[0] if p + 2 <= len(b) else len(b)
+    for flag in (8, 16):  # name, comment
+        if flags & flag:
+            p = b.after(b"\0", p) + 1
+            if p == 0:
+                return None
+    if flags & 2:
+        if p + 2 > len(b) or b.crc(at, p) & 0xFFFF != struct.unpack_from("<H", b, p)[0]:
+            return None
+        p += 2
+    end, crc, size = b.settled("gzip", p, lambda q: (None, _inflated(b, q)))
+    if end < 0 or end + 8 > len(b) or struct.unpack_from("<II", b, end) != (crc, size & 0xFFFFFFFF):
+        return None
+    return "application/gzip", end + 8 - at
+
+
+def _inflated(b: Finder, at: int) -> tuple[int, int, int]:
+    """Where the packed data from `at` ends (-1: it does not), crc32 and length of what it unpacks to, which is not kept."""
+    d, data, crc, size = zlib.decompressobj(-15), memoryview(b)[at:], 0, 0
     try:
-        for lo in range(0, len(data), 1 << 16):
-            part = data[lo : lo + (1 << 16)]
-            while part:  # what it unpacks to is not kept
-                d.decompress(part, 1 << 20)
+        lo, step = 0, 256  # most that are none end at once
+        while lo < len(data) and not d.eof:
+            part = data[lo : lo + step]
+            lo += len(part)
+            step = min(step * 4, 1 << 16)
+            while part and not d.eof:
+                out = d.decompress(part, 1 << 20)
+                crc, size = zlib.crc32(out, crc), size + len(out)
                 part = d.unconsumed_tail
-            if d.eof:
-                return "application/gzip", min(lo + (1 << 16), len(data)) - len(d.unused_data)
     except zlib.error:
-        return None
-    return None
+        return -1, 0, 0
+    return (at + lo - len(d.unused_data), crc, size) if d.eof else (-1, 0, 0)
 
 
-def _flac(b: bytes, at: int) -> tuple[str, int] | None:
+def _flac(b: Finder, at: int) -> tuple[str, int] | None:
     return ("audio/flac", len(b) - at) if len(b) >= at + 42 and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\0\0\x22" else None
 
 
-def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
-    p = at
-    while b[p : p + 5] == b"OggS\0" and p + 27 <= len(b):
+def _ogg(b: Finder, at: int) -> tuple[str, int] | None:
+    def step(p: int):
+        if b[p : p + 5] != b"OggS\0" or p + 27 > len(b):
+            return None, -1
         last, segments = b[p + 5] & 4, b[p + 26]
-        p += 27 + segments + sum(b[p + 27 : p + 27 + segments])
-        if p > len(b):
-            return None
-        if last:
-            return "audio/ogg", p - at
-    return None
+        onward = p + 27 + segments + sum(b[p + 27 : p + 27 + segments])
+        if onward > len(b):
+            return None, -1
+        return (None, onward) if last else (onward, None)
 
+    end = b.settled("ogg", at, step)
+    return ("audio/ogg", end - at) if end >= 0 else None
 
-def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
-    p, seen = at, set()
-    while p + 8 <= len(b):
+
+def _mp4(b: Finder, at: int) -> tuple[str, int] | None:
+    def step(p: int):
+        if p + 8 > len(b):
+            return None, (p, False)
         n, kind = struct.unpack_from(">I", b, p)[0], b[p + 4 : p + 8]
-        if n < 8 or p + n > len(b) or not kind.isalnum():
-            break
-        seen.add(kind)
-        p += n
-    return ("video/mp4", p - at) if {b"ftyp", b"moov"} <= seen else None
+        return (p + n, kind == b"moov") if n >= 8 and p + n <= len(b) and kind.isalnum() else (None, (p, False))
+
+    end, film = b.settled("mp4", at, step, lambda moov, rest: (rest[0], rest[1] or moov))
+    return ("video/mp4", end - at) if film else None
 
 
 VALIDATORS = {
@@ -227,7 +350,7 @@ def to_wav(payload: bytes, rate: int = 8000) -> bytes:
 
 def from_wav(b: bytes) -> bytes | None:
     """The samples of an 8-bit mono PCM wave; None if it is not one."""
-    if _riff(b, 0) is None or b[8:12] != b"WAVE":
+    if _riff(Finder(b), 0) is None or b[8:12] != b"WAVE":
         return None
     p, plain = 12, False
     while p + 8 <= len(b):
