@@ -61,25 +61,33 @@ def fold(doc_id: Column | str) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int, by: str | None = None, total: int | None = None, values: int = 256) -> DataFrame:
-    """About `bound` rows (of each value of `by`, and about `total` of all), chosen by a hash of `key`; all rows where there are no more.
+def bounded_sample(df: DataFrame, key: str, bound: int, by: str | None = None, total: int | None = None) -> DataFrame:
+    """The rows of about `bound` ids (of each value of `by`, and about `total` ids of all), chosen by a hash of the id; all where there are no more.
 
-    Of `by` the `values` most common values count, ties in order of the value. `key` has to tell rows apart.
+    Ids are counted, not rows, and of every value at least one id is chosen. A row for each value of `by` comes to the driver.
     """
     cells = 1 << 20
     cell = F.pmod(F.xxhash64(F.col(key)), F.lit(cells))
     if by is None:
-        n = df.count()
+        n = df.select(key).distinct().count()
         return df if n <= bound else df.filter(cell < int(cells * bound / n))
-    counts = df.groupBy(F.col(by).alias("_value")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_value").limit(values).collect()
+    counts = df.select(F.col(by).alias("_value"), key).distinct().groupBy("_value").agg(F.count(F.lit(1)).alias("_n"), F.min(cell).alias("_least")).collect()
     if total is not None and counts:
         bound = min(bound, max(1, total // len(counts)))
-    shares = [(r["_value"], int(cells * min(1.0, bound / r["_n"]))) for r in counts]
+    shares = [(r["_value"], max(int(cells * min(1.0, bound / r["_n"])), r["_least"] + 1)) for r in counts]
     schema = T.StructType([T.StructField("_value", df.schema[by].dataType), T.StructField("_share", T.LongType())])
-    few = df.sparkSession.createDataFrame(shares, schema)  # at most `values` rows
+    few = df.sparkSession.createDataFrame(shares, schema)
     return df.join(F.broadcast(few), df[by] == few["_value"]).filter(cell < F.col("_share")).drop("_value", "_share")
 
 
+def within_bytes(rows: DataFrame, key: str, text_col: str, total: int) -> DataFrame:
+    """Rows of a sample whose texts have about `total` bytes at most, thinned by a hash of the id; rows above a sixteenth of that are left out."""
+    size = F.octet_length(F.col(text_col))
+    fit = rows.filter(size <= total // 16)
+    n = fit.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return fit if n <= total else fit.filter(F.pmod(F.xxhash64(F.lit("thin"), F.col(key)), F.lit(1 << 20)) < int((1 << 20) * total / n))
+
+
 def clear_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """(_id, _y): the ids outside the held-out fold whose labels are 0 or 1 and agree; rows without an id, and ids with both labels, teach nothing."""
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))

@@ -5,8 +5,8 @@ loss-weighted decoding picks the language whose codeword costs least under the l
 is the share of the chosen codeword in the softmax of the losses; a small lead over the second marks
 the document ambiguous.
 
-Trained on about TRAIN_PER_LANG documents of each language and TRAIN_TOTAL of all, of the 256 most common
-languages (documented bounds), outside the held-out fold. Edge cases: a text that is null or has no
+Trained on about TRAIN_PER_LANG documents of each language and TRAIN_TOTAL of all, but one of every language
+(documented bounds), outside the held-out fold; executors make the vectors that the driver fits. Edge cases: a text that is null or has no
 letter is `und` with score 0; texts of any length are read whole; rows without a language or an id never
 train, and of several texts of an id and language the least one does; with no labelled row everything is
 `und`; repeated rows get equal answers; other columns are ignored.
@@ -95,11 +95,10 @@ class Model:
         return lang, score, lead
 
 
-def fit(texts: list[str], langs: list[str], rounds: int = 250, rate: float = 4.0, ridge: float = 1e-5) -> Model:
+def fit(x: np.ndarray, langs: list[str], rounds: int = 250, rate: float = 4.0, ridge: float = 1e-5) -> Model:
     """Logistic regression of each bit by accelerated gradient steps, languages weighing the same."""
     names = sorted(set(langs))
     code = codebook(len(names))
-    x = features(texts)
     y = np.array([names.index(v) for v in langs], int)
     bits = code[y].astype("f4") if len(y) else np.zeros((0, code.shape[1]), "f4")
     weight = (1 / np.maximum(1, np.bincount(y, minlength=len(names))))[y][:, None].astype("f4") / max(1, len(names))
@@ -117,8 +116,17 @@ def fit(texts: list[str], langs: list[str], rounds: int = 250, rate: float = 4.0
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = TRAIN_PER_LANG) -> Model:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
     rows = rows.filter((common.fold("_id") != 2) & F.col("_id").isNotNull() & F.col("_l").isNotNull() & F.col("_t").rlike(r"\p{L}"))
-    got = common.one_text(common.bounded_sample(rows, "_id", bound, "_l", TRAIN_TOTAL), "_id", "_l").orderBy("_id", "_l").toPandas()
-    return fit(got["_t"].tolist(), got["_l"].tolist())
+    chosen = common.one_text(common.bounded_sample(rows, "_id", bound, "_l", TRAIN_TOTAL), "_id", "_l")
+    kind = rows.schema["_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # vectors of one size come to the driver, whatever the length of the texts
+            x = features(b.column(2).to_pylist()).astype("f2")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v.tobytes() for v in x], pa.binary())], ["_id", "_l", "x"])
+
+    got = chosen.select("_id", "_l", "_t").mapInArrow(run, f"_id {kind}, _l string, x binary").toPandas().sort_values(["_id", "_l"])
+    x = np.frombuffer(b"".join(got["x"]), "f2").astype("f4").reshape(len(got), BUCKETS)
+    return fit(x, got["_l"].tolist())
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

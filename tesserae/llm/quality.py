@@ -4,8 +4,8 @@ Every non-blank line gets surface features of itself and of the lines around it;
 (bad, good) gives each line's forward-backward marginal, and their mean weighted by line length is the
 document's quality, calibrated to a probability by a logistic curve.
 
-The chain is trained on about TRAIN_DOCS labelled documents (a documented bound), each line taking its
-document's label. Edge cases: null, empty and blank texts have no lines and score 0; texts of any length
+The chain is trained on about TRAIN_DOCS labelled documents with about TRAIN_BYTES bytes at most, none of
+more than a sixteenth of that (documented bounds), each line taking its document's label. Edge cases: null, empty and blank texts have no lines and score 0; texts of any length
 are scored whole; rows without a label, without an id, or of an id with both labels never train, and of
 several texts of an id the least one does; with no labels at all every other text scores 0.5; repeated
 rows score alike; other columns are ignored.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import common
 
-TRAIN_DOCS = 4000
+TRAIN_DOCS, TRAIN_BYTES = 4000, 64 << 20
 _OWN = 16  # features of one line
 
 
@@ -209,7 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits on at most about `bound` labelled rows outside the held-out fold."""
     chosen = common.bounded_sample(common.clear_labels(labels, id_col, label_col), "_id", bound // 2, "_y")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull()).join(F.broadcast(chosen), "_id")
-    got = common.one_text(rows, "_id", "_y").orderBy("_id").toPandas()
+    once = common.staged(common.one_text(rows, "_id", "_y"), "quality-train")
+    got = common.within_bytes(once, "_id", "_t", TRAIN_BYTES).orderBy("_id").toPandas()
+    common.discard(once)
     return fit(got["_t"].tolist(), got["_y"].to_numpy(int))
 
 

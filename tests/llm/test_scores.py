@@ -1,10 +1,11 @@
 import itertools
 import math
 import time
+import zlib
 
 import numpy as np
 
-from tesserae.llm import langid, quality, toxicity
+from tesserae.llm import common, langid, quality, toxicity
 
 
 def brute_chain(scores, trans):
@@ -197,6 +198,43 @@ def test_conflicting_labels_and_null_ids_teach_nothing(spark):
     assert np.allclose(quality.train(copies, lab).w, quality.train(d, lab).w)
 
 
+def test_every_language_of_a_labelled_id_is_learned(spark):
+    """One id with very many rows, and three hundred languages of one document each, beside many of another."""
+    free = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, f"the house and the {i}th garden", "en") for i in free[:500]] + [(free[600 + n], f"{chr(0x4E00 + n)} wort {n}", f"l{n}") for n in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = spark.range(100_000).selectExpr(f"{free[550]}L AS doc_id", "concat('der die das und ', id % 7) AS text", "'de' AS lang")
+    for seed in range(2):
+        assert langid.train(d.unionByName(many), bound=20 + seed).languages == sorted({"en", "de"} | {f"l{n}" for n in range(300)})
+    two = langid.train(d.filter("lang = 'en'").unionByName(many))
+    assert two.languages == ["de", "en"] and two.decode(["der die und das", "the house and garden"])[0] == ["de", "en"]
+
+
+def test_training_bytes_are_bounded(spark):
+    free = [i for i in range(900) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, ("A good line of text.\n" if k % 2 else "#### @@@ %%%\n") * (200_000 if k == 0 else 50), k % 2) for k, i in enumerate(free[:200])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    assert sum(len(t) for _, t, _ in rows[1:]) > 160_000
+    n = common.within_bytes(d, "doc_id", "text", 100_000).selectExpr("sum(octet_length(text))").first()[0]
+    assert 70_000 < n < 130_000
+    assert common.within_bytes(d, "doc_id", "text", 1 << 30).count() == len(rows)
+
+
+def test_long_varied_texts(spark):
+    """Texts of a megabyte and more, of many different words and lines, are scored whole and in time."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{chr(97 + k % 26)}{k}" for k in range(5000)])
+    long = "\n".join(" ".join(line) for line in words[rng.integers(0, 5000, (20_000, 8))])
+    d, lab = frames(spark)
+    d = d.unionByName(spark.createDataFrame([(3000, long, "en", "s", 1), (3001, long + " trash idiot", "en", "s", 1)], d.schema))
+    for query in (quality.op1_crf_quality, toxicity.op9_lexicon_toxicity):
+        got = query(spark, "", d, lab).filter("doc_id >= 3000").collect()
+        assert len(got) == 2 and all(0 <= r.score <= 1 for r in got)
+    got = {r.doc_id: r for r in langid.op8_ecoc_language(spark, "", d).filter("doc_id >= 3000").collect()}
+    model = langid.train(d)
+    assert got[3000].lang_pred == slow_language(model, long)[0]
+
+
 def test_long_texts_take_linear_time():
     lex = toxicity.Lexicon({"trash": 2.0}, ("trash can",))
     a, text = lex.automaton(), toxicity.fold("trash can trash " * 300_000)
