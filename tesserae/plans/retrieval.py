@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as X
 from tesserae.functions import vectors as V
 from tesserae.operators import retrieval as R
-from tesserae.sources.tables import table
+from tesserae.operators.text_index import TextIndex
+from tesserae.sources.tables import scratch, table
 
 QUERIES_TEXT = ((1, "the thand station"), (2, "der die und verlich keit"), (3, "que los asción del"), (4, "the the a"), (5, "zzzz qqqq"))
 
@@ -102,6 +103,28 @@ def bm25_topk(spark, sf_dir):
     return R.bm25(table(spark, sf_dir, "documents"), _texts(spark), 10)
 
 
+def _questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def bm25_index_topk(spark, sf_dir):
+    """Every benchmark item asked of a stored index of all documents, put in two goes."""
+    docs, index = table(spark, sf_dir, "documents"), TextIndex(spark, scratch(spark, "bm25-index"))
+    index.put(docs.filter("doc_id % 2 = 0"))
+    index.put(docs.filter("doc_id % 2 = 1"))
+    return index.search(_questions(spark, sf_dir), R.TOP_K)[0]
+
+
+def bm25_index_update(spark, sf_dir):
+    """The same after a source was taken out, another one's documents were put anew under other texts, and the index was compacted."""
+    docs, index = table(spark, sf_dir, "documents"), TextIndex(spark, scratch(spark, "bm25-index"))
+    index.put(docs)
+    index.remove(docs.filter("source = 'src1'"))
+    index.put(docs.filter("source = 'src2'").withColumn("text", F.concat("lang", F.lit(" "), "text")))
+    index.compact()
+    return index.search(_questions(spark, sf_dir), R.TOP_K)[0]
+
+
 def _pair(spark, sf_dir):
     """Embeddings under document ids, and for each text query the vector of its own number."""
     emb = _emb(spark, sf_dir)
@@ -148,6 +171,8 @@ QUERIES = {
     "bm25_probe": bm25_probe,
     "bm25_score": bm25_score,
     "bm25_topk": bm25_topk,
+    "bm25_index_topk": bm25_index_topk,
+    "bm25_index_update": bm25_index_update,
     "minmax_norm": minmax_norm,
     "fuse_full_outer": fuse_full_outer,
     "hybrid_topk": hybrid_topk,
@@ -165,17 +190,25 @@ _TOKS = """
     po AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tk) GROUP BY ALL),
     dl AS (SELECT doc_id, len(t) AS len FROM tk),
     asked AS (SELECT * FROM (VALUES %s) q(query_id, term))""" % ", ".join(f"({i}, '{w}')" for i, q in QUERIES_TEXT for w in dict.fromkeys(re.sub(r"[^\w\s]", "", q, flags=re.ASCII).split()) if len(w) > 1)
-_BM25 = (
-    "WITH "
-    + _TOKS
-    + """,
+_WORDS = "list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 1)"
+_RANKED = """,
     st AS (SELECT count(*) AS n, avg(len) AS al FROM dl),
     df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
     b AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))), 6) AS score
           FROM asked JOIN po USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b WHERE score > 0)"""
-)
+_BM25 = "WITH " + _TOKS + _RANKED
 BM25_SQL = _BM25
+
+
+def _asked_by_items(docs: str) -> str:
+    """BM25 of the benchmark's items over the documents that a statement gives."""
+    return f"""WITH tk AS (SELECT doc_id, {_WORDS} AS t FROM ({docs})),
+    po AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tk) GROUP BY ALL),
+    dl AS (SELECT doc_id, len(t) AS len FROM tk),
+    asked AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark){_RANKED} SELECT * FROM r WHERE rank <= 8"""
+
+
 _NORM = "CASE WHEN max(score) OVER w = min(score) OVER w THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
 _FUSED = (
     _BM25
@@ -218,6 +251,8 @@ ORACLES = {
     "bm25_probe": "WITH " + _TOKS + " SELECT query_id, term, doc_id, tf, len FROM asked JOIN po USING (term) JOIN dl USING (doc_id)",
     "bm25_score": _BM25 + " SELECT query_id, doc_id, score FROM r",
     "bm25_topk": _BM25 + " SELECT * FROM r WHERE rank <= 10",
+    "bm25_index_topk": _asked_by_items("SELECT doc_id, text FROM documents"),
+    "bm25_index_update": _asked_by_items("SELECT doc_id, CASE WHEN source = 'src2' THEN lang || ' ' || text ELSE text END AS text FROM documents WHERE source IS DISTINCT FROM 'src1'"),
     "minmax_norm": _BM25 + f" SELECT query_id, doc_id, round({_NORM}, 6) AS norm FROM r WHERE rank <= 24 WINDOW w AS (PARTITION BY query_id)",
     "fuse_full_outer": _FUSED + " SELECT query_id, doc_id, round(dense, 6) AS dense, round(sparse, 6) AS sparse FROM f",
     "hybrid_topk": _FUSED

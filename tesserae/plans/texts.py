@@ -11,7 +11,8 @@ from tesserae.operators import rag as G
 from tesserae.operators import retrieval as R
 from tesserae.operators import state as S
 from tesserae.plans.retrieval import BM25_SQL, QUERIES_TEXT
-from tesserae.sources.tables import table
+from tesserae.sources.snapshots import SnapshotTable
+from tesserae.sources.tables import scratch, table
 
 
 def _docs(spark, sf_dir):
@@ -107,9 +108,11 @@ def upsert_last(spark, sf_dir):
 
 
 def snk_vector_put(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    new = e.filter("vec_id % 10 = 0").select("vec_id", F.lit(-1).alias("label"))
-    return S.merge_entries(e, new, "vec_id")
+    """All embeddings put into a store, a tenth of them put again under another label, and read."""
+    e, store = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), SnapshotTable(spark, scratch(spark, "vectors"), "vec_id")
+    store.put(e)
+    store.put(e.filter("vec_id % 10 = 0").withColumn("label", F.lit(-1)))
+    return store.read().select("vec_id", "label")
 
 
 def snk_vector_scan(spark, sf_dir):
@@ -117,8 +120,11 @@ def snk_vector_scan(spark, sf_dir):
 
 
 def snk_delete_by_index(spark, sf_dir):
-    left, removed = S.delete_where(_docs(spark, sf_dir), "source", "src3")
-    return left.agg(F.count(F.lit(1)).alias("n_left")).crossJoin(removed)
+    """Documents in a store, those of a source deleted from it: what is left, read again, and how many went."""
+    store = SnapshotTable(spark, scratch(spark, "documents"), "doc_id")
+    store.put(_docs(spark, sf_dir).select("doc_id", "source", "n_chars"))
+    _, removed = store.delete("source", "src3")
+    return store.read().agg(F.count(F.lit(1)).alias("n_left"), F.lit(removed).cast("long").alias("removed"))
 
 
 def source_count(spark, sf_dir):
