@@ -10,6 +10,7 @@ from tesserae.operators import chunking as C
 from tesserae.operators import rag as G
 from tesserae.operators import retrieval as R
 from tesserae.operators import state as S
+from tesserae.plans import packing_sql as P
 from tesserae.plans.retrieval import BM25_SQL, QUERIES_TEXT
 from tesserae.sources.snapshots import SnapshotTable
 from tesserae.sources.tables import scratch, table
@@ -187,20 +188,23 @@ def split_sentence(spark, sf_dir):
 
 
 def hard_split(spark, sf_dir):
-    """Windows of texts without terminators."""
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length("t") - 300) / 225).cast("int"))), lambda i: i * 225)
-    d = _docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[.!?]", "").alias("t")).filter("t <> ''")
-    return d.select("doc_id", F.posexplode(F.transform(starts, lambda s: F.substring("t", s + 1, 300))).alias("nr", "piece")).select("doc_id", "nr", F.length("piece").alias("n"), F.md5("piece").alias("piece_md5"))
+    """Whole texts split as one sentence each."""
+    pieces = C.hard_split(C.collapse(F.col("text")), 300, 75)
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(pieces).alias("nr", "piece")).select("doc_id", "nr", F.length("piece").alias("n"), F.md5("piece").alias("piece_md5"))
+
+
+def _sentences(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", C.sentences(C.collapse(F.col("text")), True).alias("sentences"))
 
 
 def pack_sentences(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", X.sentences(X.collapse(F.col("text"))).alias("sentences"))
-    return C.chunk_sentences(d, C.Sizing.chars(300, 75)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.length("text")).alias("longest"))
+    packed = F.col("packed")
+    d = _sentences(spark, sf_dir).select("doc_id", C.pack(F.col("sentences"), C.Sizing.chars(300, 75), True).alias("packed")).filter(F.size(packed) > 0)
+    return d.select("doc_id", F.size(packed).cast("long").alias("n_chunks"), F.array_max(F.transform(packed, lambda p: F.length(p))).alias("longest"), F.md5(F.array_join(packed, "\n")).alias("texts_md5"))
 
 
 def chunk_sentences(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", X.sentences(X.collapse(F.col("text"))).alias("sentences"))
-    return C.chunk_sentences(d, C.Sizing.tokens(128, 32))
+    return C.chunk_sentences(_sentences(spark, sf_dir), C.Sizing.tokens(128, 32), collapsed=True)
 
 
 def _headed(spark, sf_dir):
@@ -209,9 +213,10 @@ def _headed(spark, sf_dir):
 
 
 def split_headings(spark, sf_dir):
-    marked = F.split(F.regexp_replace("text", r"(?m)^#{1,6}\s+", "\u0001"), "\u0001")
-    found = _headed(spark, sf_dir).select("doc_id", F.posexplode(F.slice(marked, 2, F.size(marked))).alias("section", "s"))
-    return found.select("doc_id", "section", F.substring_index("s", "\n", 1).alias("heading"), F.length(F.expr("substring(s, locate('\n', s) + 1)")).alias("body_chars"))
+    """Sections of such texts; documents with odd ids have a line before the first heading too."""
+    before = F.when(F.col("doc_id") % 2 == 1, F.lit("before\n")).otherwise(F.lit(""))
+    found = _headed(spark, sf_dir).select("doc_id", F.posexplode(C.sections(F.concat(before, F.col("text")))).alias("section", "s"))
+    return found.select("doc_id", "section", "s.heading", F.md5("s.body").alias("body_md5"), "s.start")
 
 
 def chunk_text(spark, sf_dir):
@@ -302,6 +307,8 @@ _OVERLAP = f"""
     d AS (SELECT DISTINCT doc_id, unnest({_OT.format('text')}) AS token FROM documents),
     s AS (SELECT item_id, doc_id, round(count(*) / max(size)::DOUBLE, 6) AS overlap FROM h JOIN d USING (token) GROUP BY ALL)"""
 
+_SNT = f"WITH RECURSIVE snt AS (SELECT doc_id AS g, generate_subscripts(l, 1) AS i, unnest(l) AS s FROM (SELECT doc_id, {P.SENTENCES.format(P.COLLAPSED.format('text'))} AS l FROM documents)),"
+
 ORACLES = {
     "fanout_union": BM25_SQL
     + """,
@@ -324,13 +331,31 @@ ORACLES = {
         SELECT doc_id, printf('%x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)),
             lambda h, c: (xor(h, c) * 16777619) & 4294967295)) AS hash FROM documents""",
     "split_sentence": "SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s) <> '')) AS n FROM documents",
-    "hard_split": """
-        WITH d AS (SELECT doc_id, regexp_replace(text, '[.!?]', '', 'g') AS t FROM documents),
-        p AS (SELECT doc_id, t, unnest(range(0, greatest(0, ceil((length(t) - 300) / 225.0))::BIGINT + 1)) AS nr FROM d WHERE t <> '')
-        SELECT doc_id, nr, length(substr(t, nr * 225 + 1, 300)) AS n, md5(substr(t, nr * 225 + 1, 300)) AS piece_md5 FROM p""",
-    "split_headings": """
-        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS section, len(string_split(text, chr(10))) AS n FROM documents)
-        SELECT doc_id, section, CASE WHEN section = 0 THEN 'Start' ELSE 'Part' END AS heading, length(body) + CASE WHEN section < n - 1 THEN 1 ELSE 0 END AS body_chars FROM l""",
+    "hard_split": f"""
+        WITH RECURSIVE d AS (SELECT doc_id AS g, 0 AS i, {P.COLLAPSED.format("text")} AS t FROM documents), {P.hard_split("d", 300, 75)},
+        p AS (SELECT g, nr + generate_subscripts(pieces, 1) - 1 AS nr, unnest(pieces) AS piece FROM walk)
+        SELECT g AS doc_id, nr, length(piece) AS n, md5(piece) AS piece_md5 FROM p""",
+    "split_headings": f"""
+        WITH {P.HEADED}, o AS (SELECT *, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 0 END AS odd FROM ln)
+        SELECT doc_id, k + odd AS section, CASE WHEN k = 0 THEN 'Start' ELSE 'Part' END AS heading, md5(body) AS body_md5, (start + 7 * odd)::INT AS start FROM o
+        UNION ALL SELECT doc_id, 0, NULL, md5('before' || chr(10)), 0 FROM documents WHERE doc_id % 2 = 1""",
+    "pack_sentences": _SNT + P.packed(False, 300, 75) + " SELECT g AS doc_id, count(*) AS n_chunks, max(length(text)) AS longest, md5(string_agg(text, chr(10) ORDER BY nr)) AS texts_md5 FROM chk GROUP BY g",
+    "chunk_sentences": _SNT + P.packed(True, 128, 32) + f" SELECT g AS doc_id, nr AS chunk_index, text, {P.estimate('text')} AS token_count FROM chk",
+    "chunk_text": f"""
+        WITH RECURSIVE {P.HEADED},
+        bd AS (SELECT *, {P.COLLAPSED.format("body")} AS t FROM ln),
+        snt AS (SELECT {{'d': doc_id, 'k': k}} AS g, generate_subscripts(l, 1) AS i, unnest(l) AS s FROM (SELECT doc_id, k, {P.SENTENCES.format("t")} AS l FROM bd)),
+        {P.packed(True, 512, 64)},
+        sized AS (SELECT g, nr, text, {P.estimate("text")} AS tokens, count(*) OVER (PARTITION BY g) AS n FROM chk),
+        kept AS (SELECT bd.doc_id, k, nr, text, tokens, start + greatest(instr(t, text) - 1, 0) AS place, CASE WHEN k = 0 THEN 'Start' ELSE 'Part' END AS heading
+            FROM sized JOIN bd ON g.d = doc_id AND g.k = bd.k WHERE NOT (sized.n = 1 AND tokens < 64 AND k < bd.n - 1)),
+        al AS (SELECT doc_id, 0 AS k, 0 AS nr, {P.COLLAPSED.format("'# Start' || chr(10) || replace(text, chr(10), chr(10) || '## Part' || chr(10))")} AS text, 0 AS place, 'Start' AS heading
+            FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM kept)),
+        done AS (SELECT doc_id, k, nr, text, tokens, place, heading FROM kept UNION ALL SELECT doc_id, k, nr, text, {P.estimate("text")}, place, heading FROM al)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, nr) - 1 AS chunk_index, text, heading, place::INT AS char_start, (place + length(text))::INT AS char_end, tokens AS token_count FROM done""",
+    "chunk_index": _SNT + P.packed(False, 800, 200) + ", c AS (SELECT doc_id, greatest(count(nr), 1) AS n FROM documents LEFT JOIN chk ON g = doc_id GROUP BY 1) SELECT doc_id, n - 1 AS last_index, n FROM c",
+    "chunk_id": _SNT + P.packed(False, 800, 200) + """, c AS (SELECT doc_id, source, coalesce(nr, 0) AS nr FROM documents LEFT JOIN chk ON g = doc_id)
+        SELECT doc_id, source || CASE WHEN doc_id % 2 = 0 THEN '-p' || (doc_id % 9) ELSE '' END || '-' || nr AS chunk_id FROM c""",
     "token_overlap": _OVERLAP + " SELECT item_id, count(*) AS n, max(overlap) AS best, sum(round(overlap * 1000000)::BIGINT)::BIGINT AS sum_millionths FROM s GROUP BY 1",
     "rerank_overlap": _OVERLAP + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 4",
     "dedup_first": "SELECT lang, source, min(doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY ALL",

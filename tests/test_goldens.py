@@ -33,38 +33,43 @@ def test_tokens(spark):
 
 @pytest.mark.parametrize(("text", "n"), [("", 0), ("   ", 0), ("one", 2), ("a b c d e f g h i j", 13)])
 def test_estimate(spark, text, n):
-    assert one(spark, X.estimated_tokens(F.col("t")), t=text) == n == C.estimate(text)
+    assert one(spark, X.estimated_tokens(F.col("t")), t=text) == n == one(spark, C.estimate(F.col("t")), t=text)
 
 
-def test_chunks():
-    assert C.chunk("", C.Sizing.chars()) == [{"text": "", "heading": None, "char_start": None, "char_end": None, "token_count": None}]
-    long = C.chunk("a" * 900, C.Sizing.chars())
+def chunk(spark, text, sizing, **how):
+    return [r.asDict() for r in C.chunk_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), sizing, **how).drop("doc_id", "chunk_index").collect()]
+
+
+def test_chunks(spark):
+    assert chunk(spark, "", C.Sizing.chars()) == [{"text": "", "heading": None, "char_start": None, "char_end": None, "token_count": None}]
+    long = chunk(spark, "a" * 900, C.Sizing.chars())
     assert len(long) > 1 and all(len(c["text"]) <= 800 for c in long)
     body = " ".join(f"Sentence number {i} of this part is here." for i in range(120))
-    heads = {c["heading"] for c in C.chunk(f"# H1\n{body}\n# H2\n{body}", C.Sizing.tokens())}
+    heads = {c["heading"] for c in chunk(spark, f"# H1\n{body}\n# H2\n{body}", C.Sizing.tokens())}
     assert heads == {"H1", "H2"}
     short = " ".join(f"Short sentence {i} here." for i in range(40))
-    assert all(c["token_count"] <= 25 for c in C.chunk(short, C.Sizing.tokens(25, 0)))
-    parts = [c["text"] for c in C.chunk(short, C.Sizing.tokens(25, 13))]
+    assert all(c["token_count"] <= 25 for c in chunk(spark, short, C.Sizing.tokens(25, 0)))
+    parts = [c["text"] for c in chunk(spark, short, C.Sizing.tokens(25, 13))]
     assert all(a.endswith(" ".join(b.split()[:8])) for a, b in zip(parts, parts[1:]))  # two sentences are carried over
 
 
-def test_small_sections():
+def test_small_sections(spark):
     text = "# A\nTiny one.\n# B\nTiny two."
-    assert [c["text"] for c in C.chunk(text, C.Sizing.tokens())] == ["Tiny two."]
-    assert [c["text"] for c in C.chunk(text, C.Sizing.tokens(), keep_small=True)] == ["Tiny one.", "Tiny two."]
-    assert C.chunk("# only\n", C.Sizing.tokens())[0]["text"] == "# only"
-    assert C.sections("#\nfoo")[0] == ("foo", "foo", 2)
+    assert [c["text"] for c in chunk(spark, text, C.Sizing.tokens())] == ["Tiny two."]
+    assert [c["text"] for c in chunk(spark, text, C.Sizing.tokens(), keep_small=True)] == ["Tiny one.", "Tiny two."]
+    assert chunk(spark, "# only\n", C.Sizing.tokens())[0]["text"] == "# only"
+    assert tuple(one(spark, C.sections(F.col("t")), t="#\nfoo")[0]) == ("foo", "foo", 2)
 
 
-def test_hard_split():
-    assert C.hard_split("abc", 5, 1) == ["abc"]
-    assert C.hard_split("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]
-    assert C.hard_split("aaaaaaaa. bbbbbbb", 10, 2) == ["aaaaaaaa.", " bbbbbbb"]
+def test_hard_split(spark):
+    split = lambda t, budget, overlap: one(spark, C.hard_split(F.col("t"), budget, overlap), t=t)
+    assert split("abc", 5, 1) == ["abc"]
+    assert split("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]
+    assert split("aaaaaaaa. bbbbbbb", 10, 2) == ["aaaaaaaa.", " bbbbbbb"]
 
 
-def test_oversized_sentence_carries_its_last_piece():
-    got = C.pack(["x" * 12, "Y."], C.Sizing.chars(10, 2))
+def test_oversized_sentence_carries_its_last_piece(spark):
+    got = one(spark, C.pack(F.split("t", "[|]"), C.Sizing.chars(10, 2)), t="x" * 12 + "|Y.")
     assert got == ["x" * 10, "x" * 4, "xxxx Y."]
 
 
