@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # The estimate's tokens for a word and characters for a token.
 TOKENS_PER_WORD, CHARS_PER_TOKEN = 1.3, 4
+# FNV-1a of 32 bits.
+FNV_BASIS, FNV_PRIME = 2166136261, 16777619
 
 
 def bm25_tokens(t: Column, unicode_words: bool = False) -> Column:
@@ -47,11 +49,38 @@ def estimated_tokens_by_chars(t: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(t) / CHARS_PER_TOKEN)).cast("int")
 
 
+def _fnv1a32(texts: list) -> list:
+    """All texts step together, one UTF-16 code unit at a time, the longest first; the few that are left at the end go one by one."""
+    import numpy as np
+
+    units = [None if t is None else np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
+    order = sorted((i for i, u in enumerate(units) if u is not None), key=lambda i: -len(units[i]))
+    sizes = np.array([len(units[i]) for i in order])
+    flat = np.concatenate([units[i] for i in order]) if order else np.zeros(0, "<u2")
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if order else np.zeros(0, int)
+    h, t, live = np.full(len(order), FNV_BASIS, np.uint32), 0, len(order)
+    prime = np.uint32(FNV_PRIME)
+    while True:
+        live = int(np.searchsorted(-sizes[:live], -t, "left"))  # texts with more than t units
+        if live < 24:
+            break
+        h[:live] = (h[:live] ^ flat[starts[:live] + t]) * prime
+        t += 1
+    out: list = [None] * len(texts)
+    for k, i in enumerate(order):
+        v = int(h[k])
+        if k < live:
+            for u in units[i][t:].tolist():
+                v = (v ^ u) * FNV_PRIME & 0xFFFFFFFF
+        out[i] = f"{v:x}"
+    return out
+
+
 def fnv1a32(t: Column) -> Column:
-    """FNV-1a over UTF-16 code units as unpadded lower-case hex."""
-    units = F.regexp_extract_all(F.hex(F.encode(t, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
-    step = lambda h, u: ((h.bitwiseXOR(F.conv(u, 16, 10).cast("long"))) * 16777619).bitwiseAND(F.lit(4294967295).cast("long"))
-    return F.lower(F.hex(F.aggregate(units, F.lit(2166136261).cast("long"), step)))
+    """FNV-1a over UTF-16 code units as unpadded lower-case hex, by batches in Arrow."""
+    import pyarrow as pa
+
+    return F.arrow_udf(lambda batch: pa.array(_fnv1a32(batch.to_pylist()), pa.string()), "string")(t)
 
 
 def sentences(t: Column) -> Column:

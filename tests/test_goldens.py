@@ -26,6 +26,18 @@ def test_fnv(spark):
     assert one(spark, X.fnv1a32(F.col("t")), t="hello") == "4f9f2cab"
 
 
+def test_fnv_of_many_texts(spark):
+    def slow(t):
+        h = 2166136261
+        for i in range(0, len(b := t.encode("utf-16-be")), 2):
+            h = (h ^ int.from_bytes(b[i : i + 2], "big")) * 16777619 % 2**32
+        return f"{h:x}"
+
+    rows = [(i, None if i % 50 == 7 else "añ😀z"[: i % 5] * (i % 37) + str(i) * (i % 3)) for i in range(400)] + [(1000, ""), (1001, "x" * 300_000), (1002, "x" * 300_000)]
+    got = spark.createDataFrame(rows, "i int, t string").repartition(2).select("i", X.fnv1a32(F.col("t")).alias("h")).collect()
+    assert {r.i: r.h for r in got} == {i: None if t is None else slow(t) for i, t in rows}
+
+
 def test_tokens(spark):
     assert one(spark, X.bm25_tokens(F.col("t")), t="niño état-x_1 日本") == ["nio", "tatx_1"]
     assert "niño" in one(spark, X.bm25_tokens(F.col("t"), unicode_words=True), t="Niño")
