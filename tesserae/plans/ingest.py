@@ -174,6 +174,18 @@ def sse_concat(spark, sf_dir):
     return web.concat_stream(rows, "conv_id", "turn", "line").select("conv_id", F.md5("text").alias("text_md5"))
 
 
+def sse_reads(spark, sf_dir):
+    """Streams of conversations as they come over a network: cut at arbitrary bytes, inside lines, JSON and characters."""
+    c = table(spark, sf_dir, "conversations")
+    event = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
+    line = F.struct("turn", F.concat(F.lit("data: "), event, F.lit("\r\n: keep-alive\n\n")).alias("t"))
+    streams = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["t"]), "").alias("t"))
+    bytes_ = streams.select("conv_id", F.concat("t", F.lit("data: [DONE]")).cast("binary").alias("b"), (F.pmod(F.col("conv_id") * 7, F.lit(61)) + 3).cast("int").alias("w"))
+    reads = bytes_.select("conv_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length("b") - 1, F.col("w")), lambda i: F.substring(F.col("b"), i + 1, F.col("w")))).alias("nr", "data"))
+    lines = web.reassemble_lines(reads, "conv_id", "nr", "data")
+    return web.concat_stream(lines, "conv_id", "line_no", "line").select("conv_id", F.md5("text").alias("text_md5"))
+
+
 def udf_embed(spark, sf_dir):
     d = embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return d.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
@@ -233,6 +245,7 @@ QUERIES = {
     "src_model_catalog": src_model_catalog,
     "snk_legacy_migrate": snk_legacy_migrate,
     "sse_concat": sse_concat,
+    "sse_reads": sse_reads,
     "udf_embed": udf_embed,
     "embed_batch": embed_batch,
     "embed_reject": embed_reject,
@@ -282,6 +295,7 @@ ORACLES = {
     "src_model_catalog": "SELECT * FROM (VALUES (0, 'a/b-8b', 'x', 5), (1, 'c', '', 0), (2, '', 'z', 0)) t(seq, id, owned_by, created)",
     "snk_legacy_migrate": "SELECT vec_id, 't' || vec_id AS text, len(embedding) AS dim, round(embedding[64]::DOUBLE, 4) AS last FROM embeddings WHERE vec_id % 5 <> 4",
     "sse_concat": "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1",
+    "sse_reads": "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1",
     "embed_reject": "SELECT source, doc_id // 256 AS call, max(ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)) > 8192 AS rejected FROM documents GROUP BY ALL",
     "embed_batch": """
         WITH RECURSIVE t AS (

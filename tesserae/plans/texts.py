@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as X
 from tesserae.operators import analytics as A
 from tesserae.operators import chunking as C
+from tesserae.operators import lru as L
 from tesserae.operators import rag as G
 from tesserae.operators import retrieval as R
 from tesserae.operators import state as S
@@ -163,6 +164,16 @@ def lru_evict(spark, sf_dir):
     return S.lru_survivors(table(spark, sf_dir, "events"), "user_id", "event_id", 64)
 
 
+def _accesses(spark, sf_dir):
+    """Events as a log of a cache: every third sets its user's entry, the others ask for it."""
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, "set").otherwise("get").alias("op"))
+
+
+def lru_replay(spark, sf_dir):
+    """Hit or miss of every get of that log in a cache of 64 entries."""
+    return L.replay(_accesses(spark, sf_dir), "user_id", "event_id", "op", 64, segment_rows=20_000)[0]
+
+
 def step_duration(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     ms = F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 1000")
@@ -293,6 +304,7 @@ QUERIES = {
     "cached_partition": cached_partition,
     "dataset_replace_union": dataset_replace_union,
     "lru_evict": lru_evict,
+    "lru_replay": lru_replay,
     "step_duration": step_duration,
     "json_extract": json_extract,
     "json_stringify": json_stringify,
@@ -382,6 +394,15 @@ ORACLES = {
     "cached_partition": "SELECT doc_id, CASE WHEN md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 4 = 0) THEN 'cached' ELSE 'missing' END AS part FROM documents",
     "dataset_replace_union": "SELECT source, doc_id, CASE WHEN source IN ('src1', 'src2') THEN 0 ELSE n_chars END AS n_chars FROM documents WHERE source NOT IN ('src1', 'src2') OR doc_id % 3 = 0",
     "lru_evict": "SELECT user_id, max(event_id) AS last_used FROM events GROUP BY 1 ORDER BY 2 DESC LIMIT 64",
+    "lru_replay": """
+        WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, event_id % 3 = 0 AS puts, row_number() OVER (ORDER BY event_id) AS i FROM events),
+        walk AS (
+            SELECT 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BIGINT AS user_id, true AS puts, NULL::BOOLEAN AS hit, []::BIGINT[] AS held
+            UNION ALL
+            SELECT e.i, e.event_id, e.user_id, e.puts, CASE WHEN e.puts THEN NULL ELSE list_contains(held, e.user_id) END,
+                CASE WHEN e.puts OR list_contains(held, e.user_id) THEN (list_filter(held, lambda k: k <> e.user_id) || [e.user_id])[-64:] ELSE held END
+            FROM walk JOIN e ON e.i = walk.i + 1)
+        SELECT user_id, event_id, CASE WHEN puts THEN 'set' ELSE 'get' END AS op, hit FROM walk WHERE i > 0""",
     "step_duration": "SELECT user_id, max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000) AS duration_ms FROM events GROUP BY 1",
     "json_extract": "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, false AS yes FROM events",
     "json_stringify": """SELECT r_regionkey, '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS json FROM region""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as X
@@ -63,5 +63,26 @@ def concat_stream(lines: DataFrame, by: str, seq: str, line: str) -> DataFrame:
     return lists.select(by, F.array_join(F.transform("l", lambda x: x["t"]), "").alias("text"))
 
 
+def reassemble_lines(reads: DataFrame, by: str, seq: str, data: str) -> DataFrame:
+    """(by, line_no, line): the lines of byte streams that come in reads cut anywhere, inside lines and characters too.
+
+    A read's pieces between line feeds are numbered by the line feeds before them, so a line's pieces meet by
+    number wherever they were cut, and a stream's lines are spread over all tasks; only the counts of line
+    feeds pass a window in order. Bytes are handled as Latin-1 characters until a line is whole. The last line
+    of a stream counts if it is not empty; carriage returns at ends of lines go; null reads hold nothing; bytes that are
+    no UTF-8 become replacement characters.
+    """
+    rows = reads.select(F.col(by).alias("_by"), F.col(seq).alias("_seq"), F.decode(F.coalesce(F.col(data), F.lit(b"")), "ISO-8859-1").alias("_t"))
+    split = rows.select("_by", "_seq", F.split("_t", "\n", -1).alias("_p"))
+    order = Window.partitionBy("_by").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = split.select("_by", "_seq", (F.size("_p") - 1).cast("long").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    before = before.select(F.col("_by").alias("_of"), F.col("_seq").alias("_at"), "_before")
+    pieces = split.join(before, F.expr("_by <=> _of AND _seq = _at")).select("_by", "_seq", "_before", F.posexplode("_p").alias("_k", "_piece"))
+    whole = pieces.groupBy("_by", (F.col("_before") + F.col("_k")).alias("line_no")).agg(F.sort_array(F.collect_list(F.struct("_seq", "_piece"))).alias("_l"))
+    line = F.make_valid_utf8(F.encode(F.array_join(F.transform("_l", lambda x: x["_piece"]), ""), "ISO-8859-1").cast("string"))
+    out = whole.select(F.col("_by").alias(by), "line_no", F.regexp_replace(line, "\r$", "").alias("line"), F.max("line_no").over(Window.partitionBy("_by")).alias("_last"))
+    return out.filter("line_no < _last OR line <> ''").drop("_last")
+
+
 def sample_response(rows: list[dict]) -> str:
     return json.dumps({"organic": rows})
