@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.functions import text as X
+from tesserae.sources.tables import scratch
 
 RERANK_K = 4
 BLOCK, RULE = "\n\n---\n\n", "\n\n============\n\n"
@@ -51,10 +52,51 @@ def overlap_scores(docs: DataFrame, items: DataFrame, by: str, id_col: str, text
 
 
 def rerank_corpus(docs: DataFrame, items: DataFrame, by: str, id_col: str, text_col: str, hypothesis: str, k: int = RERANK_K) -> DataFrame:
-    """For every item the k documents of a whole table that cover most of its hypothesis, of those that cover any."""
-    order = Window.partitionBy(by).orderBy(F.desc("overlap"), id_col)
-    scored = overlap_scores(docs, items, by, id_col, text_col, hypothesis)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """For every item the k documents of a whole table that cover most of its hypothesis, of those that cover any.
+
+    Tokens are taken rarest first. The documents that have an item's rarest tokens, enough of them to hold k, are
+    counted in full, which gives a number of hits that its k-th document has at least. The most common tokens whose
+    occurrences in the hypothesis are fewer together cannot bring a document in, so candidates come from the
+    others only, and each is counted once against the whole hypothesis. Nothing is joined on a word that every
+    document has, unless the k-th document's share consists of such words.
+    """
+    spark = docs.sparkSession
+
+    def staged(df: DataFrame, label: str) -> DataFrame:
+        path = scratch(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    asked = items.select(F.col(by).alias("_by"), X.overlap_tokens(F.col(hypothesis)).alias("_h")).filter(F.size("_h") > 0)
+    terms = asked.select("_by", F.size("_h").alias("_of"), F.explode("_h").alias("_token")).groupBy("_by", "_of", "_token").agg(F.count(F.lit(1)).alias("_n"))
+    terms = staged(terms, "rerank-terms")
+    held = staged(docs.select(F.col(id_col).alias("_id"), F.array_distinct(X.overlap_tokens(F.col(text_col))).alias("_d")), "rerank-tokens")
+    posted = held.select("_id", F.explode("_d").alias("_token"))
+    df = posted.join(terms.select("_token").distinct(), "_token", "left_semi").groupBy("_token").agg(F.count(F.lit(1)).alias("_df"))
+    known = terms.join(staged(df, "rerank-df"), "_token")  # tokens that no document has bring nothing
+    # windows over the tokens of one item, few however many documents there are
+    rare = Window.partitionBy("_by").orderBy("_df", "_token")
+    known = known.withColumn("_before", F.coalesce(F.sum("_df").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    known = staged(known.withColumn("_rest", F.sum("_n").over(rare.rowsBetween(0, Window.unboundedFollowing))), "rerank-known")
+    hypotheses = staged(terms.groupBy("_by", "_of").agg(F.collect_list("_token").alias("_h"), F.filter(F.collect_list(F.struct("_token", "_n")), lambda t: t["_n"] > 1).alias("_more")), "rerank-items")
+
+    def counted(chosen: DataFrame) -> DataFrame:
+        """(_by, _id, _hits, _of) of the documents that have any of the chosen tokens, all tokens counted."""
+        pairs = posted.join(chosen.select("_by", "_token"), "_token").select("_by", "_id").distinct()
+        both = F.array_intersect("_h", "_d")
+        again = F.aggregate("_more", F.lit(0).cast("long"), lambda n, t: n + F.when(F.array_contains("_d", t["_token"]), t["_n"] - 1).otherwise(0))
+        return pairs.join(hypotheses, "_by").join(held, "_id").select("_by", "_id", (F.size(both) + again).alias("_hits"), "_of")
+
+    # a document may have several of the rarest tokens, so those of 4k postings are taken; with fewer than k documents among them nothing is ruled out
+    seeds = known.filter(F.col("_before") < k * F.lit(4))
+    best = Window.partitionBy("_by").orderBy(F.desc("_hits"), "_id")
+    first = staged(counted(seeds), "rerank-first")
+    least = first.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") == k).select("_by", F.col("_hits").alias("_least"))
+    rest = known.join(least, "_by", "left").filter((F.col("_before") >= k * F.lit(4)) & (F.col("_rest") >= F.coalesce("_least", F.lit(0))))
+    scored = first.unionByName(counted(rest)).distinct()
+    out = scored.withColumn("overlap", F.round(F.col("_hits") / F.col("_of"), 6))
+    order = Window.partitionBy("_by").orderBy(F.desc("overlap"), "_id")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("_by").alias(by), F.col("_id").alias(id_col), "overlap", "rank")
 
 
 def grade_filter(hits: DataFrame, by: str, outcome: Column, seq: str, first: int | None = None) -> DataFrame:

@@ -114,3 +114,20 @@ def test_failed_commits_leave_the_table_as_it_was(spark, tmp_path):
     with pytest.raises(Conflict):  # this one read version 1 and comes second
         t._add(base, manifest, entries(spark, [(4, "c", 4.0)]), "rows")
     assert held(t) == {(1, "a", 1.0), (3, "b", 3.0)}
+
+
+def test_rerank_takes_rare_tokens_first(spark):
+    """The same documents as by comparing every item with every document, ties and repeated tokens included."""
+    from tesserae.functions import text as X
+    from tesserae.operators import rag as G
+
+    rows = texts(400, 3) + [(1000, None), (1001, ""), (1002, "w0 w0 w1"), (1003, "w0 w0 w1")]
+    rng = random.Random(6)
+    asked = [(i, " ".join(rng.choices([f"w{k}" for k in range(200)] + ["unknown"], [1 / (k + 1) for k in range(200)] + [0.2], k=rng.randrange(1, 30)))) for i in range(60)] + [(90, ""), (91, None), (92, "w299 w298 w297")]
+    docs, items = frame(spark, rows), spark.createDataFrame(asked, "item long, hyp string")
+    got = {tuple(r) for r in G.rerank_corpus(docs, items, "item", "doc_id", "text", "hyp").collect()}
+    share = {}
+    for r in docs.crossJoin(items).select("item", "doc_id", F.round(X.token_overlap(F.col("hyp"), F.col("text")), 6).alias("s")).filter("s > 0").collect():
+        share.setdefault(r.item, []).append((-r.s, r.doc_id))
+    assert got == {(i, d, -s, n) for i, found in share.items() for n, (s, d) in enumerate(sorted(found)[:4], 1)}
+    assert G.rerank_corpus(docs.limit(0), items, "item", "doc_id", "text", "hyp").count() == 0
