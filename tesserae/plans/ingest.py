@@ -6,10 +6,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from tesserae.functions.embed import embed
+from tesserae.functions.embed import embed, hashed_vectors
 from tesserae.functions.text import estimated_tokens
 from tesserae.operators import state as S
 from tesserae.operators import workflow as W
+from tesserae.operators.vector_cache import VectorCache
 from tesserae.sources import files, pdf, web
 from tesserae.sources.tables import scratch, table
 from tesserae.streaming import index
@@ -188,7 +189,20 @@ def sse_reads(spark, sf_dir):
 
 def udf_embed(spark, sf_dir):
     d = embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return d.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    return d.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"), F.round(F.get("embedding", 0), 5).alias("first"))
+
+
+def embed_cached(spark, sf_dir):
+    """A first run embeds a quarter of the documents, a second one all: which texts were kept by then, and the vectors' lengths."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = VectorCache(spark, scratch(spark, "vector-cache"), "hashed-16", hashed_vectors)
+    cache.fill(d.filter("doc_id % 4 = 0"))
+    new = cache.missing(d)
+    path = scratch(spark, "missing")
+    new.select("text").write.parquet(path)
+    asked = spark.read.parquet(path).select(F.md5("text").alias("_md5"), F.lit(1).alias("_new"))
+    out = cache.embed(d).withColumn("_md5", F.md5("text")).join(asked, "_md5", "left")
+    return out.select("doc_id", F.col("_new").isNull().alias("reused"), F.size("embedding").alias("dim"))
 
 
 def _token_lists(spark, sf_dir):
@@ -247,6 +261,7 @@ QUERIES = {
     "sse_concat": sse_concat,
     "sse_reads": sse_reads,
     "udf_embed": udf_embed,
+    "embed_cached": embed_cached,
     "embed_batch": embed_batch,
     "embed_reject": embed_reject,
     "stream_index": stream_index,
@@ -296,6 +311,12 @@ ORACLES = {
     "snk_legacy_migrate": "SELECT vec_id, 't' || vec_id AS text, len(embedding) AS dim, round(embedding[64]::DOUBLE, 4) AS last FROM embeddings WHERE vec_id % 5 <> 4",
     "sse_concat": "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1",
     "sse_reads": "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1",
+    "udf_embed": """
+        WITH w AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents)),
+        v AS (SELECT doc_id, h % 16 AS k, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS x FROM w GROUP BY ALL),
+        n AS (SELECT doc_id, sqrt(sum(x * x)) AS n, coalesce(sum(x) FILTER (k = 0), 0) AS x FROM v GROUP BY 1)
+        SELECT doc_id, 16 AS dim, CASE WHEN coalesce(n, 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, round(CASE WHEN coalesce(n, 0) > 0 THEN x / n ELSE 0 END, 5) AS first FROM documents LEFT JOIN n USING (doc_id)""",
+    "embed_cached": "SELECT doc_id, md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 4 = 0) AS reused, 16 AS dim FROM documents",
     "embed_reject": "SELECT source, doc_id // 256 AS call, max(ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)) > 8192 AS rejected FROM documents GROUP BY ALL",
     "embed_batch": """
         WITH RECURSIVE t AS (

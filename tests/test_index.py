@@ -131,3 +131,36 @@ def test_rerank_takes_rare_tokens_first(spark):
         share.setdefault(r.item, []).append((-r.s, r.doc_id))
     assert got == {(i, d, -s, n) for i, found in share.items() for n, (s, d) in enumerate(sorted(found)[:4], 1)}
     assert G.rerank_corpus(docs.limit(0), items, "item", "doc_id", "text", "hyp").count() == 0
+
+
+def test_cached_vectors(spark, tmp_path):
+    """A model that writes down what it is asked: every text once, over several runs, and nothing of failed ones."""
+    from tesserae.functions.embed import hashed_vectors
+    from tesserae.operators.vector_cache import VectorCache
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        asked.add(len(texts))
+        if "broken" in texts:
+            raise ValueError("no answer")
+        return hashed_vectors(texts)
+
+    rows = [(i, f"text {i % 40}") for i in range(100)] + [(200, None), (201, "")]
+    cache = VectorCache(spark, f"file://{tmp_path}/c", "m", model, batch=7)
+    assert cache.fill(frame(spark, rows[:50])) == 40 and asked.value == 40
+    got = {r.doc_id: r.embedding for r in cache.embed(frame(spark, rows)).collect()}
+    assert asked.value == 41 and got == {i: hashed_vectors([t or ""])[0] for i, t in rows}
+    version = cache.manifests.load()[0]
+    assert cache.fill(frame(spark, rows)) == 0 and asked.value == 41 and cache.manifests.load()[0] == version
+    with pytest.raises(Exception, match="no answer"):
+        cache.fill(frame(spark, [(1, "broken")]))
+    assert cache.entries().count() == 41 and cache.fill(frame(spark, rows).limit(0)) == 0
+    other = VectorCache(spark, f"file://{tmp_path}/c", "m2", model)
+    assert other.fill(frame(spark, rows[:10])) == 10  # another model has its own entries
+    real = cache.manifests.load
+    stale = [real()]  # another run commits in between: this one adds its entries to the new version
+    cache.fill(frame(spark, [(1, "between")]))
+    cache.manifests.load = lambda v=None: stale.pop() if stale else real(v)
+    assert cache.fill(frame(spark, [(1, "late")])) == 1
+    assert cache.missing(frame(spark, [(1, "between"), (2, "late"), (3, "text 3"), (4, "unseen")])).select("text").collect() == [("unseen",)]
