@@ -68,11 +68,15 @@ def identifier_tokens(name: Column) -> Column:
 
 
 def relevant_datasets(catalog: DataFrame, questions: DataFrame, limit: int = 4) -> DataFrame:
-    """(question, name, score, rank): 4 points for a token of the name, 2 for each token of a column; scores above 0, the best `limit`."""
-    hits = lambda words, points: F.size(F.filter(words, lambda w: F.array_contains("asked", w))) * points
+    """(question, name, score, rank): 4 points for a token of the name, 2 for each token of a column; scores above 0, the best `limit`.
+
+    Datasets and different questions meet by the tokens that both have.
+    """
+    worth = lambda words, points: F.transform(words, lambda w: F.struct(w.alias("token"), F.lit(points).alias("points")))
     columns = F.flatten(F.transform("columns", identifier_tokens))
-    scored = catalog.crossJoin(F.broadcast(questions.withColumn("asked", question_tokens(F.col("question")))))
-    scored = scored.withColumn("score", hits(identifier_tokens(F.col("name")), 4) + hits(columns, 2)).filter("score > 0")
+    words = catalog.select("seq", "name", F.inline(F.concat(worth(identifier_tokens(F.col("name")), 4), worth(columns, 2))))
+    asked = questions.select("question").distinct().select("question", F.explode(question_tokens(F.col("question"))).alias("token"))
+    scored = words.join(asked, "token").groupBy("question", "seq", "name").agg(F.sum("points").cast("int").alias("score"))
     order = Window.partitionBy("question").orderBy(F.desc("score"), "seq")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("question", "name", "score", "rank")
 

@@ -88,12 +88,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None, k1: float =
     lengths = toks.select(id_col, F.size("t").cast("long").alias("len"))
     stats = corpus_stats(lengths).select("n_docs", "avg_len")
     terms = asked.select("term").distinct()
-    hits = toks.select(id_col, F.size("t").cast("long").alias("len"), F.explode("t").alias("term")).join(F.broadcast(terms), "term")
+    hits = toks.select(id_col, F.size("t").cast("long").alias("len"), F.explode("t").alias("term")).join(terms, "term")
     tf = hits.groupBy(id_col, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    weighed = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).join(F.broadcast(asked), "term").withColumn("part", part)
+    weighed = tf.join(df, "term").crossJoin(F.broadcast(stats)).join(asked, "term").withColumn("part", part)
     scored = weighed.groupBy("query_id", id_col).agg(F.round(F.sum("part"), DIGITS).alias("score")).filter("score > 0")
     return scored if k is None else _ranked(scored, ["query_id"], id_col, k).select("query_id", id_col, "score", "rank")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import functions as F
 
@@ -12,7 +11,6 @@ from tesserae.operators import retrieval as R
 from tesserae.operators.text_index import TextIndex
 from tesserae.sources.tables import scratch, table
 
-QUERIES_TEXT = ((1, "the thand station"), (2, "der die und verlich keit"), (3, "que los asción del"), (4, "the the a"), (5, "zzzz qqqq"))
 
 
 def _emb(spark, sf_dir):
@@ -24,8 +22,9 @@ def _vectors(emb):
     return emb.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-def _texts(spark):
-    return spark.createDataFrame(QUERIES_TEXT, "query_id long, query string")
+def questions(spark, sf_dir):
+    """Every benchmark item asks."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def vec_l2norm(spark, sf_dir):
@@ -91,20 +90,16 @@ def bm25_corpus_stats(spark, sf_dir):
 def bm25_probe(spark, sf_dir):
     """Query terms with their postings and document lengths."""
     docs = table(spark, sf_dir, "documents")
-    asked = _texts(spark).select("query_id", F.explode(F.array_distinct(X.bm25_tokens(F.col("query")))).alias("term"))
-    return R.postings(docs).join(F.broadcast(asked), "term").join(R.document_lengths(docs), "doc_id").select("query_id", "term", "doc_id", "tf", "len")
+    asked = questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct(X.bm25_tokens(F.col("query")))).alias("term"))
+    return R.postings(docs).join(asked, "term").join(R.document_lengths(docs), "doc_id").select("query_id", "term", "doc_id", "tf", "len")
 
 
 def bm25_score(spark, sf_dir):
-    return R.bm25(table(spark, sf_dir, "documents"), _texts(spark))
+    return R.bm25(table(spark, sf_dir, "documents"), questions(spark, sf_dir))
 
 
 def bm25_topk(spark, sf_dir):
-    return R.bm25(table(spark, sf_dir, "documents"), _texts(spark), 10)
-
-
-def _questions(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return R.bm25(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 10)
 
 
 def bm25_index_topk(spark, sf_dir):
@@ -112,7 +107,7 @@ def bm25_index_topk(spark, sf_dir):
     docs, index = table(spark, sf_dir, "documents"), TextIndex(spark, scratch(spark, "bm25-index"))
     index.put(docs.filter("doc_id % 2 = 0"))
     index.put(docs.filter("doc_id % 2 = 1"))
-    return index.search(_questions(spark, sf_dir), R.TOP_K)[0]
+    return index.search(questions(spark, sf_dir), R.TOP_K)[0]
 
 
 def bm25_index_update(spark, sf_dir):
@@ -122,19 +117,19 @@ def bm25_index_update(spark, sf_dir):
     index.remove(docs.filter("source = 'src1'"))
     index.put(docs.filter("source = 'src2'").withColumn("text", F.concat("lang", F.lit(" "), "text")))
     index.compact()
-    return index.search(_questions(spark, sf_dir), R.TOP_K)[0]
+    return index.search(questions(spark, sf_dir), R.TOP_K)[0]
 
 
 def _pair(spark, sf_dir):
-    """Embeddings under document ids, and for each text query the vector of its own number."""
+    """Embeddings under document ids, and for each question the vector of its own number."""
     emb = _emb(spark, sf_dir)
     entries = emb.withColumnRenamed("vec_id", "doc_id")
-    asked = emb.filter(F.col("vec_id").between(1, len(QUERIES_TEXT))).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return entries, asked, table(spark, sf_dir, "documents"), _texts(spark)
+    asked = emb.join(questions(spark, sf_dir), F.col("vec_id") == F.col("query_id"), "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return entries, asked, table(spark, sf_dir, "documents"), questions(spark, sf_dir)
 
 
 def minmax_norm(spark, sf_dir):
-    hits = R.bm25(table(spark, sf_dir, "documents"), _texts(spark), 24)
+    hits = R.bm25(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 24)
     return hits.select("query_id", "doc_id", F.round(R.minmax(hits), 6).alias("norm"))
 
 
@@ -185,12 +180,12 @@ _SCORES = """
           FROM u, u q WHERE q.vec_id {which})"""
 _WITH = "WITH " + _SCORES
 _KNN = """, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
-_TOKS = """
-    tk AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 1) AS t FROM documents),
+_WORDS = "list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 1)"
+_TOKS = f"""
+    tk AS (SELECT doc_id, {_WORDS} AS t FROM documents),
     po AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tk) GROUP BY ALL),
     dl AS (SELECT doc_id, len(t) AS len FROM tk),
-    asked AS (SELECT * FROM (VALUES %s) q(query_id, term))""" % ", ".join(f"({i}, '{w}')" for i, q in QUERIES_TEXT for w in dict.fromkeys(re.sub(r"[^\w\s]", "", q, flags=re.ASCII).split()) if len(w) > 1)
-_WORDS = "list_filter(string_split_regex(regexp_replace(lower(text), '[^\\w\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 1)"
+    asked AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark)"""
 _RANKED = """,
     st AS (SELECT count(*) AS n, avg(len) AS al FROM dl),
     df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
@@ -213,7 +208,7 @@ _NORM = "CASE WHEN max(score) OVER w = min(score) OVER w THEN 0 ELSE (score - mi
 _FUSED = (
     _BM25
     + ","
-    + _SCORES.format(which="BETWEEN 1 AND 5")
+    + _SCORES.format(which="IN (SELECT item_id FROM benchmark)")
     + _KNN
     + f""",
     d AS (SELECT query_id, vec_id AS doc_id, {_NORM} AS dense FROM k WHERE rank <= 24 WINDOW w AS (PARTITION BY query_id)),

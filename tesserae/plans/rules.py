@@ -9,7 +9,7 @@ from tesserae.operators import evaluation as E
 from tesserae.operators import picker as P
 from tesserae.operators import retrieval as R
 from tesserae.operators import workflow as W
-from tesserae.plans.retrieval import BM25_SQL, QUERIES_TEXT
+from tesserae.plans.retrieval import BM25_SQL, questions
 from tesserae.sources.tables import table
 
 MODELS = (
@@ -118,7 +118,7 @@ def eval_report(spark, sf_dir):
 def eval_ir_metrics(spark, sf_dir):
     """Ranking quality of BM25 where documents of quality 1 count as relevant to every query."""
     docs = table(spark, sf_dir, "documents")
-    texts = spark.createDataFrame(QUERIES_TEXT, "query_id long, query string")
+    texts = questions(spark, sf_dir)
     hits = R.bm25(docs, texts, 20)
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return E.ranking_metrics(hits, good.crossJoin(F.broadcast(texts.select("query_id"))), 20)

@@ -12,7 +12,7 @@ from tesserae.operators import rag as G
 from tesserae.operators import retrieval as R
 from tesserae.operators import state as S
 from tesserae.plans import packing_sql as P
-from tesserae.plans.retrieval import BM25_SQL, QUERIES_TEXT
+from tesserae.plans.retrieval import BM25_SQL, questions
 from tesserae.sources.snapshots import SnapshotTable
 from tesserae.sources.tables import scratch, table
 
@@ -41,12 +41,13 @@ def rerank_overlap(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    texts = spark.createDataFrame(QUERIES_TEXT, "query_id long, query string")
-    return R.bm25(_docs(spark, sf_dir), texts, 20)
+    return R.bm25(_docs(spark, sf_dir), questions(spark, sf_dir), 20)
 
 
 def fanout_union(spark, sf_dir):
-    hits = _hits(spark, sf_dir)
+    path = scratch(spark, "hits")
+    _hits(spark, sf_dir).write.parquet(path)  # read twice, searched once
+    hits = spark.read.parquet(path)
     return G.fanout_union(hits.filter("rank % 2 = 1"), hits.filter("rank % 3 = 1"), ["query_id", "doc_id"])
 
 
