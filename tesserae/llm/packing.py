@@ -157,8 +157,9 @@ class OpenBins:
 def pack_best_fit(pieces: DataFrame, capacity: int = 1024, open_bins: int = OPEN_BINS, look_ahead: int = LOOK_AHEAD) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length <= capacity.
 
-    Pieces are dealt by hash to packers of about PACKER_PIECES; each packer takes them in a fixed order,
-    look_ahead at a time with the longest first, so a repeated task gives the same sequences.
+    Rows are dealt by a hash of what they hold and of their own number to packers of about PACKER_PIECES, so
+    that repeated ids and equal pieces spread too; each packer takes them in a fixed order, look_ahead at a
+    time with the longest first, so a repeated task gives the same sequences. `pieces` is a stored table.
     """
     spark = pieces.sparkSession
     packers = max(1, -(-pieces.count() // PACKER_PIECES))
@@ -178,8 +179,8 @@ def pack_best_fit(pieces: DataFrame, capacity: int = 1024, open_bins: int = OPEN
                     seq[i], off[i] = bins.place(int(lengths[i]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(seq + base), pa.array(off)], [*names, "sequence_id", "offset"])
 
-    order = F.xxhash64("doc_id", "piece")
-    dealt = pieces.repartition(packers, "doc_id", "piece").sortWithinPartitions(order, "doc_id", "piece", "start", "length")
+    numbered = pieces.withColumn("_deal", F.xxhash64("doc_id", "piece", "start", "length", F.monotonically_increasing_id()))
+    dealt = numbered.repartition(packers, "_deal").sortWithinPartitions("_deal", "doc_id", "piece", "start", "length").select(*names)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(look_ahead))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return dealt.mapInArrow(run, schema)

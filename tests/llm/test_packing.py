@@ -41,6 +41,70 @@ def test_bins_close_the_fullest():
     assert b.place(2) == (2, 8)
 
 
+def slow_best_fit(lengths, capacity, most):
+    """(bin, offset) by looking at every open bin: the one with the least room that fits, the newest of equals; the fullest closes, the newest of equals."""
+    used, open_, out = [], [], []
+    for n in lengths:
+        fits = [b for b in open_ if capacity - used[b] >= n]
+        if fits:
+            room = min(capacity - used[b] for b in fits)
+            b = [x for x in open_ if capacity - used[x] == room][-1]
+        else:
+            if n < capacity and len(open_) >= most:
+                top = max(used[x] for x in open_)
+                open_.remove([x for x in open_ if used[x] == top][-1])
+            b = len(used)
+            used.append(0)
+        out.append((b, used[b]))
+        used[b] += n
+        if b in open_:
+            open_.remove(b)
+        if used[b] < capacity:
+            open_.append(b)  # the last one that was changed counts as newest
+    return out
+
+
+def test_bitset_equals_looking_at_every_bin():
+    rng = random.Random(11)
+    for capacity, most in ((20, 3), (64, 5), (1024, 16), (7, 1)):
+        lengths = [min(capacity, 1 + int(rng.expovariate(3 / capacity))) for _ in range(1500)]
+        bins = packing.OpenBins(capacity, most)
+        assert [bins.place(n) for n in lengths] == slow_best_fit(lengths, capacity, most)
+
+
+def test_query_packs_as_one_slow_packer_does(spark):
+    """A table that one packer takes: the same sequences as the slow version over its rows in the packer's order."""
+    rows = [(i, "tok " * (i * 37 % 1500)) for i in range(120)]
+    out = packing.op3_best_fit_packing(spark, "", spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    tok = Tokenizer.from_file(PATH)
+    pieces = {(i, k): n for i, t in rows for k, (_, n) in enumerate(packing.cut(len(tok.encode(t, add_special_tokens=False).ids) + 1, 1024))}
+    assert {(r.doc_id, r.piece): r.length for r in out} == pieces
+    ordered = sorted(pieces.values(), reverse=True)
+    slow = slow_best_fit(ordered, 1024, packing.OPEN_BINS)
+    assert len({r.sequence_id for r in out}) == len({b for b, _ in slow})  # within one look-ahead only the order of equal lengths is open
+    ends = {}
+    for r in out:
+        ends[r.sequence_id] = max(ends.get(r.sequence_id, 0), r.offset + r.length)
+    slow_ends = {}
+    for (b, o), n in zip(slow, ordered):
+        slow_ends[b] = max(slow_ends.get(b, 0), o + n)
+    assert sorted(ends.values()) == sorted(slow_ends.values())
+
+
+def test_repeated_ids_spread(spark, monkeypatch):
+    """A third of the rows and more are one row: they are dealt to all packers, not to one."""
+    monkeypatch.setattr(packing, "PACKER_PIECES", 500)
+    rows = [(7, "same words again")] * 3000 + [(None, "x")] * 1000 + [(i, f"row {i}") for i in range(1000)]
+    out = packing.op3_best_fit_packing(spark, "", spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas()
+    assert len(out) == len(rows)
+    packer = out.sequence_id // (1 << 40)
+    shares = out[out.doc_id == 7].groupby(packer).size()
+    assert len(shares) >= 8 and shares.max() < 3000 / 3
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 1024
+
+
 def test_pack(spark):
     rows = [(i, ("wörd x%d " % (i % 7)) * (i * 13 % 900), "x", 1) for i in range(60)] + [(100, None, None, 2), (101, "", "", 3), (7, "wörd", "", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string, length int")
