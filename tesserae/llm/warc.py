@@ -8,8 +8,10 @@ one step further, and emits one nested row per capture.
 Archives are rows (path, content), the shape of Spark's binaryFile source, so `read_records` takes both
 tables that `write_archives` made and folders of .warc or .warc.gz files read with that source.
 
-Edge cases: a null payload counts as empty; null, empty or broken urls are written without line breaks,
-null ones as about:blank; repeated rows share their record ids and come back as often as they went in;
+Edge cases: a null payload counts as empty, and payloads of any length are one record, read and written
+whole; of equal payloads the smallest page_id is the response, and rows that repeat it are responses too;
+null, empty or broken urls are written without line breaks, null ones as about:blank, and asked for at the
+root; repeated rows share their record ids and come back as often as they went in;
 a null page_id sorts behind all others and comes back as null; a dependent record whose capture is
 missing gives a row without response; damaged archives end at the damage; an empty table gives none;
 other columns are ignored.
@@ -18,8 +20,10 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +56,23 @@ def _record(kind: str, record_id: str, uri: str, mime: str, block: bytes, extra:
     return head.encode("utf-8", "replace") + block + b"\r\n\r\n"
 
 
+def _target(uri: str) -> tuple[str, str]:
+    """Path with query, and host, of a url; of what is none, the root and nothing."""
+    try:
+        parts = urlsplit(uri)
+    except ValueError:
+        return "/", ""
+    path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return path if parts.netloc and path.startswith("/") else "/", parts.netloc
+
+
+def archive_record(name: str) -> bytes:
+    """The record about the archive itself, the first one in it."""
+    block = b"software: tesserae\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:archive:{name}>\r\nWARC-Date: {_DATE}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
 def capture_id(page_id: int | None, digest: str, part: str) -> str:
     return f"<urn:capture:{'null' if page_id is None else page_id}:{digest[:32]}:{part}>"
 
@@ -59,6 +80,8 @@ def capture_id(page_id: int | None, digest: str, part: str) -> str:
 def capture_records(page_id: int | None, url: str | None, payload: bytes, digest: str, first_id: int | None) -> list[bytes]:
     """The three records of one capture."""
     uri = "".join((url or "about:blank").split())
+    path, host = _target(uri)
+    asked = f"GET {path} HTTP/1.1\r\n" + (f"Host: {host}\r\n" if host else "") + "\r\n"
     own = capture_id(page_id, digest, "response")
     revisit = first_id is not None and first_id != page_id
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -68,7 +91,7 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, digest
     beside = f"WARC-Concurrent-To: {own}\r\n"
     facts = f"page-id: {'null' if page_id is None else page_id}\r\npayload-length: {len(payload)}\r\n".encode()
     return [
-        _record("request", capture_id(page_id, digest, "request"), uri, "application/http; msgtype=request", b"GET / HTTP/1.1\r\n\r\n", beside),
+        _record("request", capture_id(page_id, digest, "request"), uri, "application/http; msgtype=request", asked.encode("utf-8", "replace"), beside),
         _record("revisit" if revisit else "response", own, uri, "application/http; msgtype=response", http if revisit else http + payload, extra),
         _record("metadata", capture_id(page_id, digest, "metadata"), uri, "application/warc-fields", facts, beside),
     ]
@@ -87,20 +110,50 @@ def write_archives(captures: DataFrame) -> DataFrame:
 
         task, made, parts, size = TaskContext.get().partitionId(), 0, [], 0
         names = ["path", "content"]
+
+        def archive() -> pa.RecordBatch:
+            name = f"part-{task:06d}-{made:06d}.warc.gz"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join([_member(archive_record(name)), *parts])], pa.binary())], names)
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 for record in capture_records(*row):
                     parts.append(_member(record))
                     size += len(record)
                 if size >= ARCHIVE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([f"part-{task:06d}-{made:06d}.warc.gz"]), pa.array([b"".join(parts)], pa.binary())], names)
+                    yield archive()
                     made, parts, size = made + 1, [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([f"part-{task:06d}-{made:06d}.warc.gz"]), pa.array([b"".join(parts)], pa.binary())], names)
+            yield archive()
 
     return captures.select("page_id", "url", "payload", "digest", "first_id").mapInArrow(run, "path string, content binary")
 
 
+def save_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes archives as .warc.gz files to a folder that all executors share, by a file: path or any address that pyarrow opens; gives (path, n_bytes).
+
+    Evaluated by whoever reads the result. A file is written under another name and then moved, so a task that is run again leaves whole files only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        for b in batches:
+            paths, sizes = [], []
+            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
+                part = f"{root}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                system.move(part, f"{root}/{name}")
+                paths.append(f"{folder.rstrip('/')}/{name}")
+                sizes.append(content.as_buffer().size)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "n_bytes"])
+
+    return archives.select("path", "content").mapInArrow(run, "path string, n_bytes long")
+
+
 def _members(content: bytes, step: int = 1 << 14) -> Iterator[bytes]:
     """The uncompressed gzip members; bytes that are not gzip come as they are."""
     if content[:2] != b"\x1f\x8b":
@@ -170,7 +223,8 @@ def read_records(archives: DataFrame, content_col: str = "content", with_payload
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture_id, copies, request, response (of type response or revisit), metadata."""
+    """One nested row per capture: capture_id, copies, request, response (of type response or revisit), metadata. Records about archives belong to none."""
+    records = records.filter("type IS NULL OR type <> 'warcinfo'")
     linked = records.filter("concurrent_to IS NOT NULL").select(F.col("record_id").alias("_via"), F.col("concurrent_to").alias("_next")).dropDuplicates(["_via"])
     to = F.coalesce("concurrent_to", F.concat(F.lit("none "), "record_id"))  # records without one spread out instead of meeting at null
     onward = records.join(linked, to == F.col("_via"), "left").drop("_via")

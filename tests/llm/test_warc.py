@@ -45,3 +45,19 @@ def test_revisits_resolve(spark):
     captures = warc.assemble(warc.read_records(warc.write_archives(warc.plan_captures(p))))
     got = warc.resolve_revisits(captures).collect()
     assert len(got) == 5 and {bytes(r.full_payload) for r in got} == {b"w" * 120}
+
+
+def test_files(spark, tmp_path):
+    """Real .warc.gz files: written by tasks, read with Spark's reader of binary files, and member by member with gzip alone."""
+    p = spark.createDataFrame([(i, f"http://host{i}/a/b?q={i}" if i else "http://[broken", "w" * 40 * i) for i in range(8)], "page_id long, url string, html string").repartition(2)
+    saved = warc.save_archives(warc.write_archives(warc.plan_captures(p)), f"file://{tmp_path}/out").collect()
+    files = sorted((tmp_path / "out").iterdir())
+    assert sorted(r.path for r in saved) == [f"file://{f}" for f in files] and all(f.name.endswith(".warc.gz") for f in files)
+    for f, r in zip(files, sorted(saved)):
+        whole = gzip.decompress(f.read_bytes())
+        assert f.stat().st_size == r.n_bytes and whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and f"WARC-Filename: {f.name}\r\n".encode() in whole
+    records = warc.read_records(spark.read.format("binaryFile").load(f"file://{tmp_path}/out"))
+    assert {r.type: r["count"] for r in records.groupBy("type").count().collect()} == {"warcinfo": len(files), "request": 8, "response": 8, "metadata": 8}
+    got = {int(c.metadata.fields["page-id"]): c for c in warc.assemble(records).collect()}
+    assert all(bytes(c.response.payload) == b"w" * 40 * i for i, c in got.items()) and len(got) == 8
+    assert got[3].request.http.startswith("GET /a/b?q=3 HTTP/1.1\r\nHost: host3") and got[0].request.http.startswith("GET / HTTP/1.1")
