@@ -7,8 +7,9 @@ filled, and equal bins estimate similarity with concentration bounds. Bands of t
 
 1. Documents with equal sets form a class (its id: the smallest doc_id). Only classes go on.
 2. Members of a bucket are linked with its smallest; connected components of these links are clusters.
-3. Each cluster is verified on its members' full shingle sets. A cluster of more than BLOCK_DOCS is cut
-   into blocks, and every pair of blocks is a task of its own, so no task holds a whole large cluster.
+3. Each cluster is verified on its members' full shingle sets. A cluster of more than BLOCK_DOCS documents or
+   BLOCK_SHINGLES shingles is cut into blocks, and every pair of blocks is a task of its own, so no task
+   holds a whole large cluster, be it of many documents or of very long ones.
    All pairs whose sizes permit a link are compared; only links that join something are emitted.
 4. Components of the verified links are the groups.
 
@@ -18,7 +19,9 @@ probability below one in a million, a more similar one with less.
 Edge cases: null, empty and blank texts have no shingles and link with nothing; fewer than five words
 make one shingle; repeated rows come back once each and belong together, as do different rows of one
 doc_id; rows without a doc_id link with nothing, their component is null and they are kept; an empty
-table gives none; other columns are ignored.
+table gives none; texts of any length are sketched and compared whole, one document's set being what a task
+has to hold at least; a group's component is its least doc_id, so ties do not arise; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ from tesserae.llm import common
 from tesserae.llm.components import components
 
 SHINGLE = 5
-BLOCK_DOCS = 1024
+#: Documents of a cluster, and shingles of all its documents, that are compared in one task; larger clusters are cut into blocks.
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 4 << 20
 #: Entries of the matrices that compare two tiles of sets; larger ones are counted without matrices.
 CELLS = 16 << 20
 #: Up to so many candidate ids are broadcast to the scan of texts; beyond that, they are joined by a shuffle.
@@ -203,25 +207,23 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) found in each task's members. rows: task, side, cid, text; tasks arrive whole and in order."""
 
     def solve(task: list[tuple]) -> list[tuple[int, int]]:
-        known = _WordHashes()
-        sets = [shingles(t[2], known) for t in task]
-        pairs = links(sets, np.array([t[0] for t in task]), percent)
+        pairs = links([t[2] for t in task], np.array([t[0] for t in task]), percent)
         return [(task[i][1], task[j][1]) for i, j in pairs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members = None, []
+        now, members, known = None, [], _WordHashes()
 
         def out() -> pa.RecordBatch:
             got = solve(members)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in got], pa.int64()), pa.array([p[1] for p in got], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for task, *member in zip(*(c.to_pylist() for c in batch.columns)):
+            for task, side, cid, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if task != now:
                     if len(members) > 1:
                         yield out()
                     now, members = task, []
-                members.append(member)
+                members.append((side, cid, shingles(text, known)))
         if len(members) > 1:
             yield out()
 
@@ -234,17 +236,17 @@ def near_duplicates(docs: DataFrame, percent: int, bands: int, rows: int, id_col
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     drawn = common.staged(sketch_documents(source, bands, rows), "sketches")
     usable = drawn.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = common.staged(usable.groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands")), "classes")
+    classes = common.staged(usable.groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "classes")
     keys = classes.select("cid", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).filter("leader < last")
     buckets = common.staged(buckets, "buckets")  # a table of its own, so that a hot bucket is split in the join
     stars = keys.join(buckets.select("key", "leader"), "key").filter("cid <> leader").select("cid", "leader").distinct()
     cluster_of = common.staged(components(stars, "cid", "leader").select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "clusters")
-    common.discard(classes)
-
-    sizes = cluster_of.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    members = cluster_of.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") * 2 / F.lit(BLOCK_DOCS)).cast("int"))
-    members = members.withColumn("blocks", F.when(F.col("n") <= BLOCK_DOCS, 1).otherwise(F.col("blocks"))).select("cid", "cluster", "blocks")
+    sizes = cluster_of.join(classes.select("cid", "n_shingles"), "cid").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("held"))
+    small = (F.col("n") <= BLOCK_DOCS) & (F.col("held") <= BLOCK_SHINGLES)
+    blocks = F.greatest(F.ceil(F.col("n") * 2 / F.lit(BLOCK_DOCS)), F.least(F.ceil(F.col("held") * 2 / F.lit(BLOCK_SHINGLES)), F.col("n")))
+    sizes = common.staged(sizes.select("cluster", F.when(small, 1).otherwise(blocks).cast("int").alias("blocks")), "cluster-sizes")
+    members = cluster_of.join(sizes, "cluster").select("cid", "cluster", "blocks")
     few = cluster_of.count() <= BROADCAST_IDS
     wanted = F.broadcast(members) if few else members
     texts = source.join(wanted, source["doc_id"] == wanted["cid"]).select("cid", "cluster", "blocks", "text")
@@ -254,6 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int, bands: int, rows: int, id_col
     dealt = dealt.withColumn("task", F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
     dealt = dealt.withColumn("side", F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")))
     verified = common.staged(_verify(dealt, percent), "links")
+    common.discard(classes)
     groups = components(verified, "a", "b").select(F.col("node").alias("cid"), "component")
 
     class_of = drawn.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("cid"))

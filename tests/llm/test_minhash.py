@@ -90,3 +90,19 @@ def test_overlaps_of_long_sets(monkeypatch):
     assert minhash._overlaps(sets[:20], sets[20:]).tolist() == want
     monkeypatch.setattr(minhash, "CELLS", 0)
     assert minhash._overlaps(sets[:20], sets[20:]).tolist() == want
+
+
+def test_long_texts_and_drifting_chains(spark, monkeypatch):
+    """Versions that drift apart, so that buckets link far more than is similar, and texts of a megabyte, compared in blocks by what they hold."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 3000)
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(220)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        for at in rng.sample(range(220), rng.choice([1, 3, 6])):  # some steps stay above the threshold, some do not
+            words[at] = f"x{rng.randrange(10**6)}"
+    long = [f"l{rng.randrange(10**6)}" for _ in range(150_000)]
+    rows += [(100, " ".join(long)), (101, " ".join([*long[:-900], "new end"])), (102, " ".join(long[:75_000]))]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.op6_minhash(spark, "", spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got) == brute(rows)
