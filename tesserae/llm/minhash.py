@@ -218,12 +218,12 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in got], pa.int64()), pa.array([p[1] for p in got], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for task, side, cid, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for task, side, cid, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
                 if task != now:
                     if len(members) > 1:
                         yield out()
                     now, members = task, []
-                members.append((side, cid, shingles(text, known)))
+                members.append((side, cid, shingles(text.as_py(), known)))  # one text at a time
         if len(members) > 1:
             yield out()
 
