@@ -18,17 +18,16 @@ turn and an empty span; an empty table gives none; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.arrays import bound, cut, pieces, prefix_sums
 from tesserae.llm import common
 
 LEARNED = "assistant"
-PIECE = 4096  # code points of a piece when spans are cut out
 _MARK = "~"
 
 
@@ -79,21 +78,6 @@ def merged(turns: Column) -> Column:
     )
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once; the optimizer may otherwise move it into a lambda and compute it for every element."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def prefix_sums(lengths: Column) -> Column:
-    """Running sums of an array of longs, by doubling: log2(n) passes over it."""
-
-    def add(sums: Column, power: Column) -> Column:
-        step = F.call_function("shiftleft", F.lit(1), power)
-        return F.when(step < F.size(sums), F.transform(sums, lambda x, i: x + F.when(i >= step, F.get(sums, i - step)).otherwise(F.lit(0).cast("long")))).otherwise(sums)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(29)), lengths, add)
-
-
 def format_conversations(turns: DataFrame, template: Template | None = None, turns_col: str = "turns", learned: str = LEARNED) -> DataFrame:
     """The other columns with formatted and loss_spans, an array of (start, length) over what the learned role says."""
     t = template or Template()
@@ -107,8 +91,9 @@ def format_conversations(turns: DataFrame, template: Template | None = None, tur
         return F.concat(F.array(piece(F.concat(F.lit(t.head), t.escape(b["role"]), F.lit(t.body)), no)), F.flatten(texts))
 
     blocks = turns.select(*keep, merged(F.col(turns_col)).alias("_blocks"))
-    pieces = blocks.select(*keep, F.concat(F.array(piece(F.lit(t.begin), no)), F.flatten(F.transform("_blocks", block))).alias("_pieces"))
-    sized = pieces.select(*keep, "_pieces", F.transform("_pieces", lambda p: F.length(p["text"]).cast("long")).alias("_n"))
+    cut_up = blocks.select(*keep, F.concat(F.array(piece(F.lit(t.begin), no)), F.flatten(F.transform("_blocks", block))).alias("_pieces"))
+    sized = cut_up.select(*keep, "_pieces", F.transform("_pieces", lambda p: F.length(p["text"]).cast("long")).alias("_n"))
+
     def spans(ends: Column) -> Column:
         span = lambda p, i: F.struct((F.get(ends, i) - F.get("_n", i)).alias("start"), F.get("_n", i).alias("length"), p["loss"].alias("loss"))
         return F.transform(F.filter(F.transform("_pieces", span), lambda s: s["loss"]), lambda s: F.struct(s["start"], s["length"]))
@@ -119,13 +104,13 @@ def format_conversations(turns: DataFrame, template: Template | None = None, tur
 def read_turns(formatted: Column, template: Template | None = None) -> Column:
     """Turns (role, text) of a formatted conversation."""
     t = template or Template()
-    cut = lambda x, control: F.split(x, re.escape(control), -1)
-    blocks = cut(F.substring(formatted, len(t.begin) + 1, (1 << 31) - 1), t.end)
+    split_at = lambda x, control: F.split(x, re.escape(control), -1)
+    blocks = split_at(F.substring(formatted, len(t.begin) + 1, (1 << 31) - 1), t.end)
 
     def turns(b: Column) -> Column:
-        sides = cut(b, t.body)
+        sides = split_at(b, t.body)
         role = t.unescape(F.substring(F.get(sides, 0), len(t.head) + 1, (1 << 31) - 1))
-        return F.transform(cut(F.get(sides, 1), t.follow), lambda x: F.struct(role.alias("role"), t.unescape(x).alias("text")))
+        return F.transform(split_at(F.get(sides, 1), t.follow), lambda x: F.struct(role.alias("role"), t.unescape(x).alias("text")))
 
     return F.flatten(F.transform(F.slice(blocks, 1, F.size(blocks) - 1), turns))
 
@@ -133,15 +118,8 @@ def read_turns(formatted: Column, template: Template | None = None) -> Column:
 def masked_texts(formatted: Column, spans: Column, template: Template | None = None) -> Column:
     """What stands under the mask, span by span, unescaped. The string is cut into pieces once, so a span costs its length."""
     t = template or Template()
-    pieces = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-
-    def one(all_: Column, s: Column) -> Column:
-        first = F.floor(s["start"] / PIECE)
-        last = F.floor((s["start"] + s["length"] - 1) / PIECE)
-        around = F.array_join(F.slice(all_, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
-        return F.when(s["length"] == 0, F.lit("")).otherwise(t.unescape(around.substr((s["start"] - first * PIECE + 1).cast("int"), s["length"].cast("int"))))
-
-    return bound(pieces, lambda all_: F.transform(spans, lambda s: one(all_, s)))
+    one = lambda parts, s: t.unescape(cut(parts, s["start"], s["length"]))
+    return bound(pieces(formatted), lambda parts: F.transform(spans, lambda s: one(parts, s)))
 
 
 #: The conversation that the query adds: both of its turns are made of control strings.
