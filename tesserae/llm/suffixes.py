@@ -23,9 +23,10 @@ suffixes would move the corpus many times over; a sparse suffix array is enough:
 
 A context that many documents share travels once from each task and not once from each document.
 
-Edge cases: a null text is empty; texts below WIDTH bytes lose nothing; repeated rows, whatever their
-ids, are copies of each other and lose everything from WIDTH bytes up; an empty table gives none; other
-columns are ignored.
+Edge cases: a null text is empty; texts below WIDTH bytes lose nothing; texts of any length are searched
+whole, in overlapping segments; repeated rows, whatever their ids, are copies of each other and lose
+everything from WIDTH bytes up; every copy loses its bytes, so ties need no order; an empty table gives
+none; other columns are ignored.
 """
 
 from __future__ import annotations
