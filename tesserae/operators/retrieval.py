@@ -15,8 +15,8 @@ from tesserae.functions import vectors as V
 # Defaults of the search.
 K1, B = 1.5, 0.75
 TOP_K, ALPHA, GATE, MMR_LAMBDA = 8, 0.5, 0.0, 0.5
-#: Query vectors that one pass over the corpus broadcasts.
-QUERY_BLOCK = 4096
+#: Bytes of query vectors that one pass over the corpus broadcasts.
+QUERY_BYTES = 32 << 20
 DIGITS = 6  # scores are rounded so that equal scores tie alike on every engine
 
 
@@ -41,7 +41,8 @@ def cosine_scores(entries: DataFrame, queries: DataFrame, id_col: str = "vec_id"
     """(query_id, id, score) of every query with every entry. Entries are normalised, queries (query_id, q) are taken as they are."""
     unit = entries.select(F.col(id_col), V.l2_normalize(V.to_double(F.col(vec_col))).alias("v"))
     asked = queries.select("query_id", V.to_double(F.col("q")).alias("q"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    n, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    blocks = max(1, -(-n * max(width, 1) * 8 // QUERY_BYTES))
     out = None
     for k in range(blocks):
         part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)

@@ -164,3 +164,14 @@ def test_cached_vectors(spark, tmp_path):
     cache.manifests.load = lambda v=None: stale.pop() if stale else real(v)
     assert cache.fill(frame(spark, [(1, "late")])) == 1
     assert cache.missing(frame(spark, [(1, "between"), (2, "late"), (3, "text 3"), (4, "unseen")])).select("text").collect() == [("unseen",)]
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    """More bytes of queries than one pass broadcasts: the same scores."""
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)], "vec_id long, embedding array<double>")
+    asked = rows.filter("vec_id % 4 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    whole = sorted(map(tuple, R.knn(rows, asked, 3).collect()))
+    monkeypatch.setattr(R, "QUERY_BYTES", 256)
+    assert sorted(map(tuple, R.knn(rows, asked, 3).collect())) == whole and len(whole) > 15
+    assert R.knn(rows, asked.limit(0), 3).count() == 0
