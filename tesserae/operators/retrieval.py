@@ -6,6 +6,13 @@ blocks of a stated size, never the corpus.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +24,8 @@ K1, B = 1.5, 0.75
 TOP_K, ALPHA, GATE, MMR_LAMBDA = 8, 0.5, 0.0, 0.5
 #: Bytes of query vectors that one pass over the corpus broadcasts.
 QUERY_BYTES = 32 << 20
+#: Vectors of a block.
+BLOCK_ROWS = 1024
 DIGITS = 6  # scores are rounded so that equal scores tie alike on every engine
 
 
@@ -37,23 +46,180 @@ def check_dimension(entries: DataFrame, vec_col: str = "embedding") -> DataFrame
     return found.select(F.when(F.col("dim").isNotNull(), checked).alias("dim"))
 
 
-def cosine_scores(entries: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score) of every query with every entry. Entries are normalised, queries (query_id, q) are taken as they are."""
+def _packed(rows: DataFrame, id_col: str, prefix: str) -> DataFrame:
+    """Rows of an id and a vector of doubles in blocks of one length: ids, whether each vector has a null entry, entries end to end; length -1: null vectors."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    names = [prefix + n for n in ("ids", "length", "nulls", "body")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                ids, vecs = (c.slice(lo, BLOCK_ROWS) for c in batch.columns)
+                lengths = vecs.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+                for n in np.unique(lengths).tolist():
+                    at = pa.array(np.flatnonzero(lengths == n))
+                    flat = vecs.take(at).flatten()
+                    nulls = np.asarray(flat.is_null()).reshape(len(at), max(n, 0)).any(1)
+                    body = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+                    own = ids.take(at)
+                    own = pa.ListArray.from_arrays([0, len(own)], own)
+                    yield pa.RecordBatch.from_arrays([own, pa.array([n], pa.int32()), pa.array([nulls.tobytes()], pa.binary()), pa.array([body.tobytes()], pa.binary())], names)
+
+    return rows.mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} int, {names[2]} binary, {names[3]} binary")
+
+
+def _unsure(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x rounded to DIGITS, half away from 0; where an error of 1e-4 of the last digit, or more digits than doubles hold, could change that)."""
+    part = np.abs(x)
+    part *= 10.0**DIGITS
+    whole = np.floor(part + 0.5)
+    far = part < 1e9
+    part -= whole
+    np.abs(part, out=part)
+    far &= part < 0.5 - 1e-4
+    whole /= 10.0**DIGITS
+    return np.copysign(whole, x, out=whole) + 0.0, ~far
+
+
+def round_half_up(x: np.ndarray) -> np.ndarray:
+    """Doubles rounded to DIGITS as Spark rounds them: half up in their shortest decimal form."""
+    with np.errstate(all="ignore"):
+        out, unsure = _unsure(x)
+    if unsure.any():
+        step = Decimal(1).scaleb(-DIGITS)
+        with localcontext() as c:
+            c.prec = 400
+            out[unsure] = [float(Decimal(repr(v)).quantize(step, ROUND_HALF_UP)) + 0.0 if math.isfinite(v) else v for v in x[unsure].tolist()]
+    return out
+
+
+def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products of the rows of x and y, which broadcast; products are added in the order of the entries, as `vectors.dot` adds them."""
+    out = np.zeros(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]))
+    with np.errstate(all="ignore"):
+        for k in range(x.shape[-1]):
+            out += x[..., k] * y[..., k]
+    return out
+
+
+def rounded_dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rounded dot products of every row of x with every row of y.
+
+    They come from a product of matrices, which may add in another order. Where that order could change a rounded
+    value (one in 5000), and for vectors so long or so odd that the error is not small, they are added in order.
+    """
+    length = np.sqrt(np.square(x).sum(1).max(initial=0) * np.square(y).sum(1).max(initial=0))
+    if not length < 1e3:
+        return np.concatenate([round_half_up(dots(x[i : i + 16, None, :], y[None])) for i in range(0, len(x), 16)])
+    out = np.empty((len(x), len(y)))
+    for i in range(0, len(x), 64):  # pieces that stay in the cache
+        out[i : i + 64], unsure = _unsure(x[i : i + 64] @ y.T)
+        at, to = np.nonzero(unsure)
+        if len(at):
+            out[i + at, to] = round_half_up(dots(x[i + at], y[to]))
+    return out
+
+
+def _block_scores(batch: pa.RecordBatch, r: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """(query ids, entry ids, rounded scores, where they are null) of the two blocks in a row; queries by entries."""
+    ids, n, nulls, body, asked, m, blank, asked_body = (batch.column(k)[r] for k in range(8))
+    ids, asked, n, m = ids.values, asked.values, n.as_py(), m.as_py()
+    shape = (len(asked), len(ids))
+    if n != m:
+        return asked, ids, np.zeros(shape), np.full(shape, min(n, m) < 0)
+    null = np.frombuffer(blank.as_buffer(), bool)[:, None] | np.frombuffer(nulls.as_buffer(), bool)[None, :]
+    if n < 0:
+        return asked, ids, np.zeros(shape), np.ones(shape, bool)
+    x, y = (np.frombuffer(v.as_buffer(), "f8").reshape(len(i), n) for v, i in ((asked_body, asked), (body, ids)))
+    return asked, ids, rounded_dots(x, y), null
+
+
+def _best(scores: np.ndarray, null: np.ndarray, ids: pa.Array, k: int) -> np.ndarray:
+    """Mask of the k best entries of every query: greatest score, NaN above all as in Spark, then least id."""
+    nan = np.isnan(scores)
+    key = np.where(nan, np.inf, scores) if nan.any() else scores.copy()
+    key[null] = -np.inf
+    n = key.shape[1]
+    if n <= k:
+        return np.ones(key.shape, bool)
+    keep = key >= np.partition(key, n - k, axis=1)[:, n - k, None]
+    place = np.empty(n, int)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(n)
+    for row in np.flatnonzero(np.count_nonzero(keep, axis=1) > k).tolist():
+        at = np.flatnonzero(keep[row])
+        order = np.lexsort((place[at], null[row, at], -key[row, at], ~nan[row, at]))
+        keep[row, at[order[k:]]] = False
+    return keep
+
+
+def _scored(entries: DataFrame, queries: DataFrame, id_col: str, vec_col: str, run: Callable, schema: str) -> DataFrame:
+    """What `run` makes of the pairs of a block of normalised entries and one of queries (query_id, q). Blocks of queries are broadcast, blocks of entries dealt to all tasks."""
     unit = entries.select(F.col(id_col), V.l2_normalize(V.to_double(F.col(vec_col))).alias("v"))
     asked = queries.select("query_id", V.to_double(F.col("q")).alias("q"))
     n, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
-    blocks = max(1, -(-n * max(width, 1) * 8 // QUERY_BYTES))
+    passes = max(1, -(-n * max(width, 1) * 8 // QUERY_BYTES))
+    blocks = _packed(unit, id_col, "e_").repartition(4 * entries.sparkSession.sparkContext.defaultParallelism)
     out = None
-    for k in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        scored = unit.join(F.broadcast(part)).select("query_id", id_col, F.round(V.dot(F.col("v"), F.col("q")), DIGITS).alias("score"))
-        out = scored if out is None else out.unionByName(scored)
+    for k in range(passes):
+        part = asked if passes == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k)
+        found = blocks.crossJoin(F.broadcast(_packed(part.coalesce(1), "query_id", "q_"))).mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
+def cosine_scores(entries: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", best: int | None = None, least: float | None = None) -> DataFrame:
+    """(query_id, id, score) of every query with every entry. Entries are normalised, queries (query_id, q) are taken as they are.
+
+    best: of each block of entries the so many that a ranking by score and id puts first, so that the ones of all
+    entries are among them. least: scores of that or more only.
+    """
+    kinds = entries.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                asked, ids, scores, null = _block_scores(batch, r)
+                keep = np.ones(scores.shape, bool) if best is None else _best(scores, null, ids, best)
+                if least is not None:
+                    keep &= ((scores >= least) | np.isnan(scores)) & ~null
+                for lo in range(0, len(asked), 64):
+                    x, y = np.nonzero(keep[lo : lo + 64])
+                    if len(x):
+                        columns = [asked.take(pa.array(x + lo)), ids.take(pa.array(y)), pa.array(scores[x + lo, y], mask=null[x + lo, y], from_pandas=False)]
+                        yield pa.RecordBatch.from_arrays(columns, ["query_id", id_col, "score"])
+
+    return _scored(entries, queries, id_col, vec_col, run, f"query_id {kinds[1]}, `{id_col}` {kinds[0]}, score double")
+
+
+def cross_scores(entries: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, n, best, worst) over the scores of each query with every entry, taken in each block first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                asked, _, scores, null = _block_scores(batch, r)
+                nan = np.isnan(scores)
+                high = np.where(nan, np.inf, scores).max(1, where=~null, initial=-np.inf)
+                low = scores.min(1, where=~(null | nan), initial=np.inf)
+                none = null.all(1)
+                high[(nan & ~null).any(1)] = np.nan  # above all in Spark
+                low[(nan | null).all(1)] = np.nan
+                n = pa.array(np.full(len(asked), scores.shape[1]))
+                yield pa.RecordBatch.from_arrays([asked, n, pa.array(high, mask=none, from_pandas=False), pa.array(low, mask=none, from_pandas=False)], ["query_id", "n", "best", "worst"])
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    found = _scored(entries, queries, id_col, vec_col, run, f"query_id {kind}, n long, best double, worst double")
+    return found.groupBy("query_id").agg(F.sum("n").alias("n"), F.max("best").alias("best"), F.min("worst").alias("worst"))
+
+
+def nearest(entries: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, id, score, rank) of the k best entries of every query."""
+    return _ranked(cosine_scores(entries, queries, id_col, vec_col, best=k), ["query_id"], id_col, k)
+
+
 def knn(entries: DataFrame, queries: DataFrame, k: int = TOP_K, gate: float = GATE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The best max(3k, 6) candidates, gated, then the best k of them."""
-    best = _ranked(cosine_scores(entries, queries, id_col, vec_col), ["query_id"], id_col, max(3 * k, 6))
+    best = nearest(entries, queries, max(3 * k, 6), id_col, vec_col)
     return best.filter((F.col("score") >= gate) & (F.col("rank") <= k)).select("query_id", id_col, "score", "rank")
 
 
@@ -116,7 +282,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, id_col: str = "doc_id", alpha: flo
 
 def hybrid(entries: DataFrame, vectors: DataFrame, docs: DataFrame, queries: DataFrame, k: int = TOP_K, alpha: float = ALPHA, gate: float = GATE, id_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:
     """Dense candidates max(3k, 6) and BM25's best 3k, fused, gated, the best k; ids that are not in `entries` then drop out."""
-    dense = _ranked(cosine_scores(entries, vectors, id_col, vec_col), ["query_id"], id_col, max(3 * k, 6))
+    dense = nearest(entries, vectors, max(3 * k, 6), id_col, vec_col)
     best = _ranked(fuse(dense, bm25(docs, queries, 3 * k), id_col, alpha).filter(F.col("score") >= gate), ["query_id"], id_col, k)
     return hydrate(best.select("query_id", id_col, "score", "rank"), entries.select(id_col), id_col)
 

@@ -55,12 +55,12 @@ def knn_topk(spark, sf_dir):
 
 def vec_cross_score(spark, sf_dir):
     emb = _emb(spark, sf_dir)
-    return R.cosine_scores(emb, _vectors(emb)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.min("score").alias("worst"))
+    return R.cross_scores(emb, _vectors(emb))
 
 
 def score_gate(spark, sf_dir):
     emb = _emb(spark, sf_dir)
-    return R.score_gate(R.cosine_scores(emb, _vectors(emb)), 0.25)
+    return R.score_gate(R.cosine_scores(emb, _vectors(emb), least=0.25), 0.25)
 
 
 def hit_hydrate(spark, sf_dir):

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.functions import vectors as V
 from tesserae.operators import retrieval as R
 from tesserae.operators.text_index import TextIndex
 from tesserae.sources.snapshots import Conflict, SnapshotTable
@@ -175,3 +176,22 @@ def test_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "QUERY_BYTES", 256)
     assert sorted(map(tuple, R.knn(rows, asked, 3).collect())) == whole and len(whole) > 15
     assert R.knn(rows, asked.limit(0), 3).count() == 0
+
+
+def test_block_scores_equal_the_expressions(spark, monkeypatch):
+    """Blocks against a join of rows: copies, zero and null vectors, null and odd entries, other lengths, scores that end in a 5."""
+    monkeypatch.setattr(R, "BLOCK_ROWS", 7)
+    rng = random.Random(4)
+    vecs = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(60)]
+    vecs += [vecs[0], vecs[1], vecs[0], [0.0] * 4, None, [1.0, None, 2.0, 3.0], [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 0.0, 0.0], [1.0, 2.0], [], [1e200] * 4]
+    asked = [(0, vecs[0]), (1, [0.0000005, 0.0, 0.0, 0.0]), (2, [0.5, None, 0.0, 1.0]), (3, None), (4, [1.0, 1.0]), (5, [1e9, -1e9, 3.0, 0.1]), (6, [float("nan")] * 4), (7, [])]
+    e = spark.createDataFrame([(i, v) for i, v in enumerate([[2.0, 0.0, 0.0, 0.0], *vecs])], "vec_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, q array<double>")
+    slow = e.crossJoin(q).select("query_id", "vec_id", F.round(V.dot(V.l2_normalize(F.col("embedding")), F.col("q")), 6).alias("score"))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(R.cosine_scores(e, q)) == rows(slow)
+    assert rows(R.cosine_scores(e, q, least=0.25)) == rows(slow.filter("score >= 0.25"))
+    for k in (3, 24):
+        assert rows(R.nearest(e, q, k)) == rows(R._ranked(slow, ["query_id"], "vec_id", k))
+    want = slow.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.min("score").alias("worst"))
+    assert rows(R.cross_scores(e, q)) == rows(want)
