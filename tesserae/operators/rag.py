@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.functions import text as X
+from tesserae.operators.retrieval import small
 from tesserae.sources.tables import scratch
 
 RERANK_K = 4
@@ -42,12 +43,13 @@ def rerank_overlap(hits: DataFrame, by: str, hypothesis: str, content: str, seq:
 def overlap_scores(docs: DataFrame, items: DataFrame, by: str, id_col: str, text_col: str, hypothesis: str) -> DataFrame:
     """(by, id, overlap) of every item with every document that holds some of its tokens: the same share as `text.token_overlap`.
 
-    Tokens are taken once on each side and joined, so the work follows the tokens that both have.
+    Tokens are taken once on each side and joined, so the work follows the tokens that both have. The items' tokens
+    are broadcast where they are few, so that a word of every document does not bring all of them into one task.
     """
     asked = items.select(by, X.overlap_tokens(F.col(hypothesis)).alias("_h"))
     terms = asked.select(by, F.size("_h").alias("_of"), F.explode("_h").alias("_token")).groupBy(by, "_of", "_token").agg(F.count(F.lit(1)).alias("_n"))
     held = docs.select(id_col, F.explode(F.array_distinct(X.overlap_tokens(F.col(text_col)))).alias("_token"))
-    found = held.join(terms, "_token").groupBy(by, id_col).agg(F.sum("_n").alias("_n"), F.max("_of").alias("_of"))
+    found = held.join(small(terms), "_token").groupBy(by, id_col).agg(F.sum("_n").alias("_n"), F.max("_of").alias("_of"))
     return found.select(by, id_col, F.round(F.col("_n") / F.col("_of"), 6).alias("overlap"))
 
 

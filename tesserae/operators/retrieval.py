@@ -24,6 +24,8 @@ K1, B = 1.5, 0.75
 TOP_K, ALPHA, GATE, MMR_LAMBDA = 8, 0.5, 0.0, 0.5
 #: Bytes of query vectors that one pass over the corpus broadcasts.
 QUERY_BYTES = 32 << 20
+#: Rows of a table of query terms or hits that is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Vectors of a block.
 BLOCK_ROWS = 1024
 DIGITS = 6  # scores are rounded so that equal scores tie alike on every engine
@@ -245,22 +247,42 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("total_len"), F.avg("len").alias("avg_len"))
 
 
+def small(df: DataFrame, n: int | None = None) -> DataFrame:
+    """The table marked for broadcast if it has no more than BROADCAST_ROWS rows."""
+    return F.broadcast(df) if (df.count() if n is None else n) <= BROADCAST_ROWS else df
+
+
+def probe(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, term, id, tf, len): the terms of queries (query_id, query) with their postings and document lengths.
+
+    Words that no query has are dropped before anything is shuffled, and what is left is dealt once, by document.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(X.bm25_tokens(F.col("query")))).alias("term"))
+    n = asked.count()
+    words = docs.select(id_col, F.explode(X.bm25_tokens(F.col(text_col))).alias("term"))
+    hits = words.join(small(asked.select("term").distinct(), n), "term").repartition(id_col)
+    tf = hits.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tf.join(document_lengths(docs, id_col, text_col), id_col).join(small(asked, n), "term").select("query_id", "term", id_col, "tf", "len")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None, k1: float = K1, b: float = B, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, score[, rank]) of queries (query_id, query): distinct query terms, scores above 0, the best k.
 
-    Only postings of query terms are kept, so the corpus is scanned once and what is shuffled is the hits.
+    Only words of query terms are kept, before anything is shuffled, and they are dealt once, by document, so that
+    frequencies, weights and scores of a document come from one task.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(X.bm25_tokens(F.col("query")))).alias("term")).distinct()
+    n = asked.count()
     toks = docs.select(id_col, X.bm25_tokens(F.col(text_col)).alias("t")).filter("t IS NOT NULL")
     lengths = toks.select(id_col, F.size("t").cast("long").alias("len"))
     stats = corpus_stats(lengths).select("n_docs", "avg_len")
-    terms = asked.select("term").distinct()
-    hits = toks.select(id_col, F.size("t").cast("long").alias("len"), F.explode("t").alias("term")).join(terms, "term")
+    terms = small(asked.select("term").distinct(), n)
+    hits = toks.select(id_col, F.size("t").cast("long").alias("len"), F.explode("t").alias("term")).join(terms, "term").repartition(id_col)
     tf = hits.groupBy(id_col, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(stats)).join(asked, "term").withColumn("part", part)
+    weighed = tf.join(small(df, n), "term").crossJoin(F.broadcast(stats)).withColumn("part", part).join(small(asked, n), "term")
     scored = weighed.groupBy("query_id", id_col).agg(F.round(F.sum("part"), DIGITS).alias("score")).filter("score > 0")
     return scored if k is None else _ranked(scored, ["query_id"], id_col, k).select("query_id", id_col, "score", "rank")
 

@@ -89,9 +89,7 @@ def bm25_corpus_stats(spark, sf_dir):
 
 def bm25_probe(spark, sf_dir):
     """Query terms with their postings and document lengths."""
-    docs = table(spark, sf_dir, "documents")
-    asked = questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct(X.bm25_tokens(F.col("query")))).alias("term"))
-    return R.postings(docs).join(asked, "term").join(R.document_lengths(docs), "doc_id").select("query_id", "term", "doc_id", "tf", "len")
+    return R.probe(table(spark, sf_dir, "documents"), questions(spark, sf_dir))
 
 
 def bm25_score(spark, sf_dir):

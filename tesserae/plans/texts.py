@@ -76,8 +76,9 @@ def udf_llm(spark, sf_dir):
 def prompt_context(spark, sf_dir):
     """The context of each question: its best four hits with their whole texts."""
     docs = _docs(spark, sf_dir).select("source", "doc_id", F.col("text").alias("content"), (F.col("doc_id") % 3).alias("page"))
-    hits = _hits(spark, sf_dir).filter("rank <= 4").select("query_id", "doc_id", "rank")
-    return G.prompt_context(docs.join(hits, "doc_id"), "query_id", "rank").select("query_id", F.md5("context").alias("context_md5"), F.length("context").alias("n"))
+    path = scratch(spark, "hits")
+    _hits(spark, sf_dir).filter("rank <= 4").select("query_id", "doc_id", "rank").write.parquet(path)
+    return G.prompt_context(docs.join(R.small(spark.read.parquet(path)), "doc_id"), "query_id", "rank").select("query_id", F.md5("context").alias("context_md5"), F.length("context").alias("n"))
 
 
 def citation_fmt(spark, sf_dir):
