@@ -1,12 +1,15 @@
 """The stored index against scoring everything, and tables of snapshots."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.functions import text as X
 from tesserae.functions import vectors as V
 from tesserae.operators import retrieval as R
+from tesserae.operators.rag import overlap_scores
 from tesserae.operators.text_index import TextIndex
 from tesserae.sources.snapshots import Conflict, SnapshotTable
 
@@ -195,3 +198,21 @@ def test_block_scores_equal_the_expressions(spark, monkeypatch):
         assert rows(R.nearest(e, q, k)) == rows(R._ranked(slow, ["query_id"], "vec_id", k))
     want = slow.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.min("score").alias("worst"))
     assert rows(R.cross_scores(e, q)) == rows(want)
+
+
+def test_words_of_no_query_are_not_shuffled(spark):
+    """Terms meet documents by broadcast whatever Spark estimates, and frequencies and scores of a document stay in one task; copies of an id count as before."""
+    docs, asked = frame(spark, [*texts(50), (3, "w1 w2 w1")]), spark.createDataFrame(QUESTIONS, ASKED)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = R.bm25(docs, asked)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", plan) and "hashpartitioning(doc_id" in plan
+        overlap = overlap_scores(docs, asked, "query_id", "doc_id", "text", "query")
+        assert "SortMergeJoin" not in overlap._jdf.queryExecution().executedPlan().toString()
+        terms = asked.select("query_id", F.explode(F.array_distinct(X.bm25_tokens(F.col("query")))).alias("term"))
+        slow = R.postings(docs).join(terms, "term").join(R.document_lengths(docs), "doc_id").select("query_id", "term", "doc_id", "tf", "len")
+        assert sorted(map(tuple, R.probe(docs, asked).collect())) == sorted(map(tuple, slow.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
