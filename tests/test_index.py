@@ -216,3 +216,33 @@ def test_words_of_no_query_are_not_shuffled(spark):
         assert sorted(map(tuple, R.probe(docs, asked).collect())) == sorted(map(tuple, slow.collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_index_keeps_postings_once_and_search_moves_no_scores(spark, tmp_path):
+    """A segment has blocks and frequencies alone, and scores of a slice leave it for the ranking only. Ties, tombstones, repeated questions, and slices that compaction joins."""
+    rows = texts(60, 8) + [(i, "w1 w2 w150") for i in range(100, 140)]  # more equal scores than k
+    asked = spark.createDataFrame([(i, f"w{i % 7} w{i % 290} w150") for i in range(300)] + [(3, "w9 w150"), (None, "w1")], ASKED)
+    index = TextIndex(spark, f"file://{tmp_path}/c", slice_docs=8)
+    index.put(frame(spark, rows[:50]))
+    index.put(frame(spark, rows[50:]))
+    index.remove(frame(spark, rows[:45:2]))
+    left = sorted({*rows} - {*rows[:45:2]})
+
+    def slices():
+        found = index._read(index.manifests.load()[1], "blocks", ("rows",)).filter("term IS NULL")
+        return [r[0] for r in found.select(F.size("postings")).collect()]
+
+    terms = asked.filter("query_id IS NOT NULL").select("query_id", F.explode(F.array_distinct(X.bm25_tokens(F.col("query")))).alias("term"))
+    posted, n = R.postings(frame(spark, left)), len(left)
+    stats, lengths = R.corpus_stats(R.document_lengths(frame(spark, left))), R.document_lengths(frame(spark, left))
+    part = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
+    slow = terms.join(posted, "term").join(R.document_frequency(posted), "term").join(lengths, "doc_id").crossJoin(stats).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    want = {tuple(r) for r in R._ranked(slow.filter("score > 0"), ["query_id"], "doc_id", 5).select("query_id", "doc_id", "score", "rank").collect()}
+    hits = index.search(asked, 5)[0]
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", hits._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r) for r in hits.collect()} == want
+    assert all({p.name for p in d.iterdir()} <= {"blocks", "df", "dead"} for d in (tmp_path / "c" / "data").iterdir())
+    before = slices()
+    index.compact()
+    assert sum(slices()) == n and len(slices()) < len(before)
+    assert {tuple(r) for r in index.search(asked, 5)[0].collect()} == want
