@@ -116,9 +116,7 @@ def hard_split(sentence: Column, budget: int, overlap: int) -> Column:
     """Pieces of a sentence that is longer than the budget, in characters: behind the first terminator of the next `budget` characters while that lies in their back half, then windows."""
     stride = max(budget - overlap, 1)
 
-    def all_(parts: Column) -> Column:
-        length = F.length(sentence)
-
+    def all_(parts: Column, length: Column) -> Column:
         def step(acc: Column, _: Column) -> Column:
             at, rest = acc["at"], length - acc["at"]
             first = F.length(F.regexp_extract(cut(parts, at, F.lit(budget)), _TERMINATOR, 1))
@@ -131,7 +129,9 @@ def hard_split(sentence: Column, budget: int, overlap: int) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
         return F.aggregate(F.sequence(F.lit(0), F.ceil(length / (budget * 0.5)).cast("int")), start, step, lambda acc: acc["out"])
 
-    return F.when(F.length(sentence) <= budget, F.array(sentence)).otherwise(bound(pieces(sentence), all_))
+    # a sentence may be an expression of its own, and its length is asked for at every step: both are computed once
+    long = lambda s, length: bound(pieces(s), lambda parts: all_(parts, length))
+    return bound(sentence, lambda s: bound(F.length(s), lambda n: F.when(n <= budget, F.array(s)).otherwise(long(s, n))))
 
 
 _WHOLE, _FIRST, _LATER = 0, 1, 2  # sentences; pieces of one that is larger than a chunk

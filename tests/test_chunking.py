@@ -142,3 +142,13 @@ def test_long_texts(spark):
     for i in (1, 4):
         assert len(got[i]) == len(slow_chunks(rows[i - 1][1], "chars", 800, 200, True))
     assert sum(len(t) for _, t in got[2]) > 1_000_000 and max(len(t) for _, t in got[3]) < 1100
+
+
+def test_a_sentence_is_computed_once(spark):
+    """A sentence that is an expression of its own is not computed again at every step, so the work grows with the text."""
+    sentence = C.collapse(F.col("text"))
+    count = lambda c: frame(spark, [(1, "")]).select(c)._jdf.queryExecution().analyzed().toString().count("regexp_replace")
+    assert count(C.hard_split(sentence, 300, 75)) == count(sentence)
+    rows = [(1, "and so  on it\twent. " * 400), (2, "word \n" * 3000), (3, " "), (4, None), (5, "a  b")]
+    got = {r.doc_id: r.p for r in frame(spark, rows).select("doc_id", C.hard_split(sentence, 30, 8).alias("p")).collect()}
+    assert got == {i: None if t is None else slow_split(" ".join(t.split()), 30, 8) for i, t in rows}
